@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspark.llm import pairs
+from lumenspark.llm import pairs, residue
 from lumenspark.plans.registry import Registry
 from lumenspark.sources.tables import table
 
@@ -19,3 +19,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("p1_report")
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defect_report(table(spark, sf_dir, "tutor_conversations"))
+
+
+@registry.add("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_documents(table(spark, sf_dir, "documents"))
+
+
+@registry.add("p9_messages")
+def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.recurring_messages(table(spark, sf_dir, "documents"))
