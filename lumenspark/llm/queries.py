@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspark.llm import pairs, residue
+from lumenspark.llm import cutoff, pairs, residue
 from lumenspark.plans.registry import Registry
 from lumenspark.sources.tables import table
 
@@ -29,3 +29,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("p9_messages")
 def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.recurring_messages(table(spark, sf_dir, "documents"))
+
+
+def _explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.explanation_texts(table(spark, sf_dir, "generated_question"), table(spark, sf_dir, "qbank_amboss_openai_evaluated"))
+
+
+@registry.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.cut_texts(_explanations(spark, sf_dir))
+
+
+@registry.add("p4_report")
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.cut_report(_explanations(spark, sf_dir))
