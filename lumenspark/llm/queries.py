@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspark.llm import cutoff, pairs, residue
+from lumenspark.llm import cutoff, leaks, pairs, residue
 from lumenspark.plans.registry import Registry
 from lumenspark.sources.tables import table
 
@@ -43,3 +43,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("p4_report")
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.cut_report(_explanations(spark, sf_dir))
+
+
+@registry.add("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@registry.add("p8_report")
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@registry.add("p8_reparameterised")
+def p8_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.reparameterised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
