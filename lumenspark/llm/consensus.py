@@ -2,8 +2,8 @@
 
 A confusion model is fitted by mean-field variational inference: a Dirichlet prior
 on the frequencies of the true scores of each dimension and on each row of each
-evaluator's confusion matrix (which scores are given where a true score holds). An
-evaluator's matrix is shared by the dimensions. Every update is a group-by:
+evaluator's confusion matrix for that dimension (which scores are given where a true
+score holds): one may be careful on one dimension only. Every update is a group-by:
   * items: the expected log likelihoods of an item's ratings are summed, and
     normalised over the five scores;
   * evaluators: the items' probabilities are summed by evaluator and given score,
@@ -23,7 +23,10 @@ score nearest the plain mean, then to the lower; an empty table gives empty resu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspark.session import cut_lineage
@@ -32,7 +35,7 @@ DIMENSIONS = ("question_clarity", "option_quality", "medical_accuracy", "overall
 SCORES = (1, 2, 3, 4, 5)
 #: Prior counts: of each true score; of giving the true score, one beside it, any other.
 CLASS_PRIOR, RIGHT, NEAR, OTHER = 1.0, 4.0, 1.0, 0.4
-STEPS, LEAST_RATERS = 12, 3
+STEPS, LEAST_RATERS = 9, 3
 
 
 def digamma(x: Column) -> Column:
@@ -67,7 +70,7 @@ def _normalised(logs: list[Column]) -> list[Column]:
 
 
 class Fit:
-    """items: (question_id, dimension, n, mean, q1..q5); evaluators: expected counts c1..c5 by evaluator and given score."""
+    """items: (question_id, dimension, n, mean, q1..q5); counts: expected counts c11..c55 (true, given) by evaluator and dimension."""
 
     def __init__(self, ratings: DataFrame, items: DataFrame, counts: DataFrame):
         self.ratings, self.items, self.counts = ratings, items, counts
@@ -83,26 +86,24 @@ def fit(ratings: DataFrame, steps: int = STEPS) -> Fit:
     items = start.select("question_id", "dimension", *((F.col(x) / total).alias(x) for x in q))
     counts = None
     for _ in range(steps):
-        counts = cut_lineage(ratings.join(items, ["question_id", "dimension"]).groupBy("evaluator", "dimension", "score").agg(*(F.sum(x).alias(f"c{k}") for k, x in zip(SCORES, q))))
+        shares = [F.sum(F.when(F.col("score") == given, F.col(f"q{true}")).otherwise(0.0)).alias(f"c{true}{given}") for true in SCORES for given in SCORES]
+        counts = cut_lineage(ratings.join(items, ["question_id", "dimension"]).groupBy("evaluator", "dimension").agg(*shares))
         items = _items(ratings, counts)
     return Fit(ratings, items, counts)
 
 
 def _items(ratings: DataFrame, counts: DataFrame) -> DataFrame:
     """The items' probabilities under the evaluators' counts (a few numbers for each evaluator)."""
-    by_evaluator = counts.groupBy("evaluator", "score").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in SCORES))
-    given = F.broadcast(ratings.sparkSession.createDataFrame([(s, [_prior(k, s) for k in SCORES]) for s in SCORES], "score int, prior array<double>"))
-    grid = by_evaluator.select("evaluator").distinct().crossJoin(given)  # five rows for each evaluator
-    full = grid.join(by_evaluator, ["evaluator", "score"], "left")
-    cells = full.select("evaluator", "score", *((F.coalesce(f"c{k}", F.lit(0.0)) + F.col("prior")[i]).alias(f"c{k}") for i, k in enumerate(SCORES)))
-    rows = Window.partitionBy("evaluator")
-    logs = cells.select("evaluator", "score", *((digamma(F.col(f"c{k}")) - digamma(F.sum(f"c{k}").over(rows))).alias(f"l{k}") for k in SCORES))
-    # Each rating has one evaluator, so the sum over given scores is the number of items' rating shares; classes by dimension.
-    shares = counts.groupBy("dimension").agg(*(F.sum(f"c{k}").alias(f"n{k}") for k in SCORES))
+    cell = {(k, s): F.col(f"c{k}{s}") + _prior(k, s) for k in SCORES for s in SCORES}
+    row = {k: digamma(reduce(add, (F.col(f"c{k}{s}") for s in SCORES)) + sum(_prior(k, s) for s in SCORES)).alias(f"r{k}") for k in SCORES}
+    held = counts.select("*", *row.values())
+    given = F.explode(F.array(*(F.struct(F.lit(s).alias("score"), *((digamma(cell[k, s]) - F.col(f"r{k}")).alias(f"l{k}") for k in SCORES)) for s in SCORES)))
+    logs = held.select("evaluator", "dimension", given.alias("g")).select("evaluator", "dimension", "g.*")
+    # Over given scores and evaluators the counts add up to each class's share of the ratings.
+    weight = counts.groupBy("dimension").agg(*(F.sum(reduce(add, (F.col(f"c{k}{s}") for s in SCORES))).alias(f"n{k}") for k in SCORES))
     weights = [F.col(f"n{k}") + CLASS_PRIOR for k in SCORES]
-    all_ = sum(weights[1:], weights[0])
-    classes = shares.select("dimension", *((digamma(w) - digamma(all_)).alias(f"p{k}") for k, w in zip(SCORES, weights)))
-    sums = ratings.join(logs, ["evaluator", "score"]).groupBy("question_id", "dimension").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), *(F.sum(f"l{k}").alias(f"s{k}") for k in SCORES))
+    classes = weight.select("dimension", *((digamma(w) - digamma(reduce(add, weights))).alias(f"p{k}") for k, w in zip(SCORES, weights)))
+    sums = ratings.join(logs, ["evaluator", "dimension", "score"]).groupBy("question_id", "dimension").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), *(F.sum(f"l{k}").alias(f"s{k}") for k in SCORES))
     joined = sums.join(F.broadcast(classes), "dimension")  # one row for each dimension
     probabilities = _normalised([F.col(f"s{k}") + F.col(f"p{k}") for k in SCORES])
     return joined.select("question_id", "dimension", "n", "mean", *(p.alias(f"q{k}") for k, p in zip(SCORES, probabilities)))
@@ -118,20 +119,17 @@ def labels(forms: DataFrame, least: int = LEAST_RATERS) -> DataFrame:
 
 
 def reliability(forms: DataFrame) -> DataFrame:
-    """(evaluator, n_scores, accuracy, low, high): posterior mean of giving the true score, and its 95 % interval."""
+    """(evaluator, dimension, n_scores, accuracy, low, high): posterior mean of giving the true score, and its 95 % interval."""
     counts = fit(counting_scores(forms)).counts
-    own = counts.select("evaluator", F.expr("stack(5, " + ", ".join(f"{k}, c{k}, score" for k in SCORES) + ") as (true, c, given)"))
-    sums = own.groupBy("evaluator").agg(
-        F.sum("c").alias("n"), F.sum(F.when(F.col("true") == F.col("given"), F.col("c"))).alias("hit")
-    )
+    n = reduce(add, (F.col(f"c{k}{s}") for k in SCORES for s in SCORES))
+    sums = counts.select("evaluator", "dimension", n.alias("n"), reduce(add, (F.col(f"c{k}{k}") for k in SCORES)).alias("hit"))
     a = F.col("hit") + RIGHT
     b = F.col("n") - F.col("hit") + 2 * NEAR + 2 * OTHER
-    mean = a / (a + b)
     # The posterior of the accuracy is a beta one; its interval through the logit's normal approximation.
     logit, sd = F.log(a / b), F.sqrt(1 / a + 1 / b)
     bound = lambda z: 1 / (1 + F.exp(-(logit + z * sd)))
     return sums.select(
-        "evaluator", F.round("n").cast("bigint").alias("n_scores"), F.round(mean, 6).alias("accuracy"),
+        "evaluator", "dimension", F.round("n").cast("bigint").alias("n_scores"), F.round(a / (a + b), 6).alias("accuracy"),
         F.round(bound(-1.96), 6).alias("low"), F.round(bound(1.96), 6).alias("high"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspark.llm import cutoff, leaks, pairs, residue
+from lumenspark.llm import consensus, cutoff, leaks, pairs, residue, similar
 from lumenspark.plans.registry import Registry
 from lumenspark.sources.tables import table
 
@@ -35,6 +35,11 @@ def _explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.explanation_texts(table(spark, sf_dir, "generated_question"), table(spark, sf_dir, "qbank_amboss_openai_evaluated"))
 
 
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda name: table(spark, sf_dir, name).select("question_id", "question")
+    return read("generated_question").unionByName(read("qbank_amboss_openai_evaluated"))
+
+
 @registry.add("p4_found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.cut_texts(_explanations(spark, sf_dir))
@@ -58,3 +63,28 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("p8_reparameterised")
 def p8_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.reparameterised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@registry.add("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.labels(table(spark, sf_dir, "human_evaluation")).select("question_id", "dimension", "label")
+
+
+@registry.add("p3_reliability")
+def p3_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.reliability(table(spark, sf_dir, "human_evaluation"))
+
+
+@registry.add("p3_agreement")
+def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.agreement(table(spark, sf_dir, "human_evaluation"))
+
+
+@registry.add("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similar_pairs(_questions(spark, sf_dir))
+
+
+@registry.add("p5_groups")
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.groups(_questions(spark, sf_dir))
