@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenspark.llm import consensus, cutoff, leaks, pairs, residue, similar
+from lumenspark.llm import consensus, cutoff, leaks, packing, pairs, residue, similar
 from lumenspark.plans.registry import Registry
 from lumenspark.sources.tables import table
 
@@ -88,3 +88,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("p5_groups")
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.groups(_questions(spark, sf_dir))
+
+
+@registry.add("p7_windows")
+def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_budgets"))
+
+
+@registry.add("p7_fill")
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p7_windows(spark, sf_dir))
