@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 GAP_MS = 900_000
 HOUR_US = 3_600_000_000
 
-_USUAL = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d{1,9})?)?(Z|[+-]\d\d:\d\d)?$"
+_USUAL = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d{1,9})?(Z|[+-]\d\d:\d\d)?$"
 _LOOSE = r"^\s*\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d(:\d\d([.,]\d{1,9})?)?([Zz]|[+-]\d\d(:?\d\d)?)?\s*$"
 
 
@@ -38,6 +38,7 @@ def iso_micros(text: Column) -> Column:
         return F.unix_micros(F.when(zoned, t).otherwise(F.concat(t, F.lit("Z"))).try_cast("timestamp"))
 
     bare = F.upper(F.trim(F.translate(text, ",\t\r\n", ".   ")))
+    bare = F.regexp_replace(bare, r"^(.{10}[T ]\d\d:\d\d)(?!:)", "$1:00")
     # +hh and +hhmm become +hh:mm; before the sixteenth character a sign belongs to the date.
     n = F.length(bare)
     rare = F.when(F.substring(bare, -3, 1).isin("+", "-") & (n > 16), F.concat(bare, F.lit(":00"))).when(

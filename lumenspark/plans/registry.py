@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenspark.sources.tables import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,3 +27,13 @@ class Registry:
             return f
 
         return keep
+
+    def add_sql(self, name: str, text: str, oracle: str | None = None) -> None:
+        """A query declared in SQL; tables are written @name. Where the dialects differ, oracle holds the other text."""
+        tables = sorted(set(re.findall(r"@(\w+)", text)))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            plain = re.sub(r"@(\w+)", r"{\1}", text.replace("{", "{{").replace("}", "}}"))
+            return spark.sql(plain, **{t: table(spark, sf_dir, t) for t in tables})
+
+        self.add(name, re.sub(r"@(\w+)", r"\1", oracle or text))(run)
