@@ -23,7 +23,6 @@ score nearest the plain mean, then to the lower; an empty table gives empty resu
 
 from __future__ import annotations
 
-from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame
@@ -35,13 +34,13 @@ DIMENSIONS = ("question_clarity", "option_quality", "medical_accuracy", "overall
 SCORES = (1, 2, 3, 4, 5)
 #: Prior counts: of each true score; of giving the true score, one beside it, any other.
 CLASS_PRIOR, RIGHT, NEAR, OTHER = 1.0, 4.0, 1.0, 0.4
-STEPS, LEAST_RATERS = 9, 3
+STEPS, LEAST_RATERS = 8, 3
 
 
 def digamma(x: Column) -> Column:
-    """Digamma of a positive column: the recurrence up to x + 6, then the asymptotic series."""
+    """Digamma of a positive value: the recurrence up to x + 6, then the asymptotic series. In lambdas, where x is bound once."""
     y = x + 6
-    series = F.log(y) - 0.5 / y - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6)
+    series = F.log(y) - 0.5 / y - 1 / (12 * y * y) + 1 / (120 * y * y * y * y)
     for k in range(6):
         series = series - 1 / (x + k)
     return series
@@ -62,15 +61,24 @@ def _prior(true: int, given: int) -> float:
     return RIGHT if true == given else NEAR if abs(true - given) == 1 else OTHER
 
 
-def _normalised(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
-    parts = [F.exp(x - top) for x in logs]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def _bound(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _normalised(logs: Column) -> Column:
+    """Probabilities of an array of logarithms."""
+    raised = _bound(logs, lambda x: _bound(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))))
+    return _bound(raised, lambda x: _bound(F.aggregate(x, F.lit(0.0), add), lambda total: F.transform(x, lambda v: v / total)))
+
+
+def _sums(values: Column) -> Column:
+    """Sums of the five runs of five."""
+    return F.array(*(F.aggregate(F.slice(values, 5 * i + 1, 5), F.lit(0.0), add) for i in range(5)))
 
 
 class Fit:
-    """items: (question_id, dimension, n, mean, q1..q5); counts: expected counts c11..c55 (true, given) by evaluator and dimension."""
+    """items: (question_id, dimension, n, mean, q); counts: (evaluator, dimension, c), c the expected counts by true, then given score."""
 
     def __init__(self, ratings: DataFrame, items: DataFrame, counts: DataFrame):
         self.ratings, self.items, self.counts = ratings, items, counts
@@ -79,41 +87,43 @@ class Fit:
 def fit(ratings: DataFrame, steps: int = STEPS) -> Fit:
     # By question, so that both the items' sums and the way back to ratings need no exchange.
     ratings = ratings.repartition("question_id").persist()
-    q = [f"q{k}" for k in SCORES]
     # Start: an item's given scores, softened.
-    start = ratings.groupBy("question_id", "dimension").agg(*(F.avg(F.lit(0.5 if k is None else 0) + (F.col("score") == k).cast("double") + 0.1).alias(f"q{k}") for k in SCORES))
-    total = sum((F.col(x) for x in q[1:]), F.col(q[0]))
-    items = start.select("question_id", "dimension", *((F.col(x) / total).alias(x) for x in q))
+    softened = F.array(*(F.avg((F.col("score") == k).cast("double")) + 0.6 for k in SCORES))
+    items = ratings.groupBy("question_id", "dimension").agg(F.transform(softened, lambda v: v / 4).alias("q"))
     counts = None
     for _ in range(steps):
-        shares = [F.sum(F.when(F.col("score") == given, F.col(f"q{true}")).otherwise(0.0)).alias(f"c{true}{given}") for true in SCORES for given in SCORES]
-        counts = cut_lineage(ratings.join(items, ["question_id", "dimension"]).groupBy("evaluator", "dimension").agg(*shares))
+        shares = [F.sum(F.when(F.col("score") == given, F.col("q")[true - 1]).otherwise(0.0)) for true in SCORES for given in SCORES]
+        joined = ratings.join(items, ["question_id", "dimension"])
+        counts = cut_lineage(joined.groupBy("evaluator", "dimension").agg(F.array(*shares).alias("c")))
         items = _items(ratings, counts)
     return Fit(ratings, items, counts)
 
 
 def _items(ratings: DataFrame, counts: DataFrame) -> DataFrame:
     """The items' probabilities under the evaluators' counts (a few numbers for each evaluator)."""
-    cell = {(k, s): F.col(f"c{k}{s}") + _prior(k, s) for k in SCORES for s in SCORES}
-    row = {k: digamma(reduce(add, (F.col(f"c{k}{s}") for s in SCORES)) + sum(_prior(k, s) for s in SCORES)).alias(f"r{k}") for k in SCORES}
-    held = counts.select("*", *row.values())
-    given = F.explode(F.array(*(F.struct(F.lit(s).alias("score"), *((digamma(cell[k, s]) - F.col(f"r{k}")).alias(f"l{k}") for k in SCORES)) for s in SCORES)))
-    logs = held.select("evaluator", "dimension", given.alias("g")).select("evaluator", "dimension", "g.*")
+    prior = F.array(*(F.lit(_prior(true, given)) for true in SCORES for given in SCORES))
+    with_prior = counts.select("evaluator", "dimension", F.zip_with("c", prior, add).alias("c"))
+    cells = with_prior.select("evaluator", "dimension", F.transform("c", digamma).alias("cell"), F.transform(_sums(F.col("c")), digamma).alias("row"))
+    log = F.transform("cell", lambda v, i: v - F.col("row")[F.floor(i / 5).cast("int")])
+    # For each given score the logarithm of its probability under each true score.
+    given = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda s: F.filter("log", lambda v, i: i % 5 == s))).alias("at", "l")
+    logs = cells.select("evaluator", "dimension", log.alias("log")).select("evaluator", "dimension", given)
+    logs = logs.select("evaluator", "dimension", (F.col("at") + 1).alias("score"), "l")
     # Over given scores and evaluators the counts add up to each class's share of the ratings.
-    weight = counts.groupBy("dimension").agg(*(F.sum(reduce(add, (F.col(f"c{k}{s}") for s in SCORES))).alias(f"n{k}") for k in SCORES))
-    weights = [F.col(f"n{k}") + CLASS_PRIOR for k in SCORES]
-    classes = weight.select("dimension", *((digamma(w) - digamma(reduce(add, weights))).alias(f"p{k}") for k, w in zip(SCORES, weights)))
-    sums = ratings.join(logs, ["evaluator", "dimension", "score"]).groupBy("question_id", "dimension").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), *(F.sum(f"l{k}").alias(f"s{k}") for k in SCORES))
+    held = counts.select("dimension", _sums(F.col("c")).alias("n")).groupBy("dimension").agg(F.array(*(F.sum(F.col("n")[i]) + CLASS_PRIOR for i in range(5))).alias("w"))
+    classes = held.select("dimension", _bound(F.aggregate("w", F.lit(0.0), add), lambda t: F.transform("w", lambda v: digamma(v) - digamma(t))).alias("p"))
+    sums = ratings.join(logs, ["evaluator", "dimension", "score"]).groupBy("question_id", "dimension").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.array(*(F.sum(F.col("l")[i]) for i in range(5))).alias("s")
+    )
     joined = sums.join(F.broadcast(classes), "dimension")  # one row for each dimension
-    probabilities = _normalised([F.col(f"s{k}") + F.col(f"p{k}") for k in SCORES])
-    return joined.select("question_id", "dimension", "n", "mean", *(p.alias(f"q{k}") for k, p in zip(SCORES, probabilities)))
+    return joined.select("question_id", "dimension", "n", "mean", _normalised(F.zip_with("s", "p", add)).alias("q"))
 
 
 def labels(forms: DataFrame, least: int = LEAST_RATERS) -> DataFrame:
     """(question_id, dimension, label, probability, n_raters) of every question and dimension with enough scores."""
     items = fit(counting_scores(forms)).items.filter(F.col("n") >= least)
     # Ties of probability (to nine places) go to the score nearest the mean, then to the lower.
-    ranked = F.array(*(F.struct(F.round(f"q{k}", 9).alias("q"), (-F.abs(F.col("mean") - k)).alias("near"), F.lit(-k).alias("low")) for k in SCORES))
+    ranked = F.array(*(F.struct(F.round(F.col("q")[k - 1], 9).alias("q"), (-F.abs(F.col("mean") - k)).alias("near"), F.lit(-k).alias("low")) for k in SCORES))
     best = F.array_max(ranked)
     return items.select("question_id", "dimension", (-best["low"]).cast("bigint").alias("label"), best["q"].alias("probability"), F.col("n").cast("bigint").alias("n_raters"))
 
@@ -121,8 +131,8 @@ def labels(forms: DataFrame, least: int = LEAST_RATERS) -> DataFrame:
 def reliability(forms: DataFrame) -> DataFrame:
     """(evaluator, dimension, n_scores, accuracy, low, high): posterior mean of giving the true score, and its 95 % interval."""
     counts = fit(counting_scores(forms)).counts
-    n = reduce(add, (F.col(f"c{k}{s}") for k in SCORES for s in SCORES))
-    sums = counts.select("evaluator", "dimension", n.alias("n"), reduce(add, (F.col(f"c{k}{k}") for k in SCORES)).alias("hit"))
+    hits = F.filter("c", lambda v, i: i % 6 == 0)  # the matrix's diagonal
+    sums = counts.select("evaluator", "dimension", F.aggregate("c", F.lit(0.0), add).alias("n"), F.aggregate(hits, F.lit(0.0), add).alias("hit"))
     a = F.col("hit") + RIGHT
     b = F.col("n") - F.col("hit") + 2 * NEAR + 2 * OTHER
     # The posterior of the accuracy is a beta one; its interval through the logit's normal approximation.
