@@ -66,3 +66,54 @@ def container(json: Column) -> Column:
 def lab_values(text: Column) -> Column:
     """Laboratory values like ``sodium 161 mmol/L`` as an array of texts; a comma between digits belongs to the number."""
     return F.regexp_extract_all(text, F.lit(r"[a-z]+ (?:count )?\d[\d,]*(?:\.\d+)? (?:mg/dL|g/dL|mmol/L|mU/L|U/L|ng/mL|ng/L|per mm3)"), F.lit(0))
+
+
+def percent_options(text: Column) -> Column:
+    """Options with the share of answers behind them (``Aspirin 12%``) as an array of (option, pct); of equal shares the first stays, ten at most are letters."""
+    pattern = r"([A-Z][^%\n]{2,200}?|\d+[^%\n]{1,200}?)\s+(\d{1,2})%"
+    names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    shares = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+    both = F.zip_with(names, shares, lambda n, p: F.struct(F.trim(n).alias("option"), p.cast("int").alias("pct")))
+    return F.slice(F.filter(both, lambda x, i: ~F.exists(F.slice(both, F.lit(1), i), lambda y: y["pct"] == x["pct"])), 1, 10)
+
+
+def argmax_letter(options: Column) -> Column:
+    """Letter of the option with the greatest share, the first of ties; ``A`` where there is none."""
+    best = F.array_max(F.transform(options, lambda x, i: F.struct(x["pct"].alias("pct"), (-i).alias("at"))))
+    return F.when(F.size(options) > 0, F.chr(F.lit(65) - best["at"])).otherwise("A")
+
+
+#: Words that mark a clarification.
+CLARIFIES = ("clarification", "clarify", "clarifying", "clarified", "澄清", "说明", "解释", "let me clarify", "let me explain", "🔍", "💡", "💬")
+
+
+def is_clarification(text: Column) -> Column:
+    """A substantial text with a clarifying word that is not just a question."""
+    t = F.trim(text)
+    periods = F.length(text) - F.length(F.replace(text, F.lit("."), F.lit("")))
+    low = F.lower(text)
+    word = F.lit(False)
+    for w in CLARIFIES:
+        word = word | low.contains(w)
+    return F.coalesce(word & (F.length(t) > 20) & ~(t.endswith("?") & (periods < 2)), F.lit(False))
+
+
+#: Kinds of error by the words in a message, the first that holds.
+ERROR_WORDS = (
+    ("quota", r"quota|insufficient|exceeded|429|cost limit"), ("rate", r"rate[^\n]*limit|limit[^\n]*rate"), ("timeout", r"timeout|timed out"),
+    ("connection", r"connection|refused|unreachable"), ("format", r"json|parse"), ("length", r"context[^\n]*length|length[^\n]*context"),
+)
+
+
+def error_kind(message: Column) -> Column:
+    low, out = F.lower(message), None
+    for kind, words in ERROR_WORDS:
+        out = F.when(low.rlike(words), kind) if out is None else out.when(low.rlike(words), kind)
+    return out.otherwise(F.when(F.length(message) > 80, F.concat(F.left(message, F.lit(80)), F.lit("..."))).otherwise(message))
+
+
+def question_lines(text: Column) -> Column:
+    """Lines of a question cleaned one by one: inner spaces collapsed, blank lines to fill stripped, at most one blank line in a row."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"_{3,}\s*$", "")))
+    kept = F.filter(lines, lambda x, i: (x != "") | F.coalesce(F.get(lines, i - 1) != "", F.lit(False)))
+    return F.regexp_replace(F.array_join(kept, "\n"), r"^\n+|\n+$", "")

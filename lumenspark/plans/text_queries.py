@@ -115,3 +115,55 @@ def novel_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 registry.add_sql("conversation_rounds", "SELECT conv_id, saved_at_rank, n FROM (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY saved_at, coalesce(size(messages), 0)) AS BIGINT) AS saved_at_rank, CAST(coalesce(size(messages), 0) AS BIGINT) AS n FROM @tutor_conversations)", "SELECT conv_id, saved_at_rank, n FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY saved_at, coalesce(len(messages), 0)) AS saved_at_rank, coalesce(len(messages), 0) AS n FROM @tutor_conversations)")
 registry.add_sql("pass_rate_pivot", "SELECT source, count(CASE WHEN llm_judge_evaluation.overall_quality >= 4 THEN 1 END) AS passed, count(CASE WHEN llm_judge_evaluation.overall_quality < 4 THEN 1 END) AS failed, count(CASE WHEN llm_judge_evaluation.overall_quality IS NULL THEN 1 END) AS unrated FROM @qbank_amboss_openai_evaluated GROUP BY source")
 registry.add_sql("window_usage_by_type", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value, round(stddev_samp(value), 6) AS sd_value FROM @events GROUP BY event_type")
+
+
+_PERCENT = r"([A-Z][^%\n]{2,200}?|\d+[^%\n]{1,200}?)\s+(\d{1,2})%"
+_OPTIONS = f"""(SELECT doc_id, option, pct, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM (
+SELECT *, row_number() OVER (PARTITION BY doc_id, pct ORDER BY i) AS again FROM (
+SELECT doc_id, trim(unnest(regexp_extract_all(t, '{_PERCENT}', 1))) AS option, CAST(unnest(regexp_extract_all(t, '{_PERCENT}', 2)) AS INT) AS pct, generate_subscripts(regexp_extract_all(t, '{_PERCENT}', 2), 1) AS i
+FROM (SELECT doc_id, replace(text, ' percent', '%') AS t FROM documents))) WHERE again = 1)"""
+
+
+@registry.add("percent_options", f"SELECT doc_id, option, pct FROM {_OPTIONS} WHERE rn <= 10")
+def percent_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = records.percent_options(F.replace(F.col("text"), F.lit(" percent"), F.lit("%")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(options).alias("o")).select("doc_id", "o.option", "o.pct")
+
+
+@registry.add("argmax_option", f"SELECT d.doc_id, coalesce(m.letter, 'A') AS letter FROM documents d LEFT JOIN (SELECT doc_id, chr(64 + CAST(arg_max(rn, (pct, -rn)) AS INT)) AS letter FROM {_OPTIONS} WHERE rn <= 10 GROUP BY doc_id) m ON d.doc_id = m.doc_id")
+def argmax_option(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = records.percent_options(F.replace(F.col("text"), F.lit(" percent"), F.lit("%")))
+    return table(spark, sf_dir, "documents").select("doc_id", options.alias("o")).select("doc_id", records.argmax_letter(F.col("o")).alias("letter"))
+
+
+_CLARIFIES = " OR ".join(f"contains(lower(t), '{w}')" for w in records.CLARIFIES)
+
+
+@registry.add("extract_clarifications", f"SELECT conv_id, count(*) AS n FROM (SELECT conv_id, coalesce(m.assistant, CASE WHEN m.\"role\" = 'assistant' THEN m.\"content\" END) AS t FROM (SELECT conv_id, unnest(messages) AS m FROM tutor_conversations)) WHERE ({_CLARIFIES}) AND length(trim(t)) > 20 AND NOT (trim(t) LIKE '%?' AND length(t) - length(replace(t, '.', '')) < 2) GROUP BY conv_id")
+def extract_clarifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "tutor_conversations").select("conv_id", F.explode("messages").alias("m"))
+    said = m.select("conv_id", F.coalesce("m.assistant", F.when(F.col("m.role") == "assistant", F.col("m.content"))).alias("t"))
+    return said.filter(records.is_clarification(F.col("t"))).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KINDS = " ".join(f"WHEN regexp_matches(lower(t), '{w}') THEN '{k}'" for k, w in records.ERROR_WORDS)
+
+
+@registry.add("error_category", f"SELECT kind, count(*) AS n FROM (SELECT CASE {_KINDS} WHEN length(t) > 80 THEN left(t, 80) || '...' ELSE t END AS kind FROM (SELECT string_split(text, chr(10))[1] AS t FROM documents)) GROUP BY kind")
+def error_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = table(spark, sf_dir, "documents").select(F.split("text", "\n")[0].alias("t"))
+    return first.groupBy(records.error_kind(F.col("t")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@registry.add(
+    "clean_question_lines",
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+c AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '_{3,}\s*$', '')) AS x FROM l),
+k AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c)
+SELECT doc_id, regexp_replace(string_agg(x, chr(10) ORDER BY i), '^\n+|\n+$', '', 'g') AS cleaned FROM k WHERE x <> '' OR coalesce(before <> '', false) GROUP BY doc_id""",
+)
+def clean_question_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", records.question_lines(F.col("text")).alias("cleaned"))
+
+
+registry.add_sql("rerank_first_match", "SELECT q.question_id, f.doc_id FROM @qbank_amboss_openai_evaluated q JOIN (SELECT question, min(question_id) AS doc_id FROM @generated_question GROUP BY question) f ON q.question = f.question")
