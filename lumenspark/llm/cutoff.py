@@ -110,11 +110,11 @@ asked AS (SELECT DISTINCT label, a, b, c FROM final WHERE NOT stopped OR marked)
 -- words that continue the last one after the same two words, or after the same one
 halves AS (
   SELECT q.label, q.a, q.b, q.c, sum(g.inside + g.ends + g.bare) AS longer
-  FROM asked q JOIN g ON q.label = g.label AND q.a = g.a AND q.b = g.b AND startswith(g.c, q.c) AND length(g.c) > length(q.c)
+  FROM asked q JOIN g ON q.label = g.label AND q.a = g.a AND q.b = g.b AND left(q.c, 1) = left(g.c, 1) AND startswith(g.c, q.c) AND length(g.c) > length(q.c)
   GROUP BY q.label, q.a, q.b, q.c),
 wide AS (
   SELECT q.label, q.b, q.c, sum(p.inside + p.ends + p.bare) AS longer
-  FROM (SELECT DISTINCT label, b, c FROM asked) q JOIN pairs p ON q.label = p.label AND q.b = p.b AND startswith(p.c, q.c) AND length(p.c) > length(q.c)
+  FROM (SELECT DISTINCT label, b, c FROM asked) q JOIN pairs p ON q.label = p.label AND q.b = p.b AND left(q.c, 1) = left(p.c, 1) AND startswith(p.c, q.c) AND length(p.c) > length(q.c)
   GROUP BY q.label, q.b, q.c),
 -- words that nobody else uses, and whether they begin a word that is used
 strange AS (SELECT q.c FROM (SELECT DISTINCT c FROM asked WHERE length(c) >= 2) q JOIN ones o ON q.c = o.c WHERE o.inside + o.ends + o.bare <= 1),
