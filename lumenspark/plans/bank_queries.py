@@ -190,7 +190,7 @@ def overlapping_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(
     "clean_text",
-    r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[PAGE:\d+\]', '', 'g'), '\s+', ' ', 'g'), 'https://t\.me/\S+', '', 'g'), '(?i)Previous\s+Next.*?Pause', '', 'g'), '(?i)Score\s+Report.*?Pause', '', 'g'), '\s*[""'',~-]+\s*$', '', 'g'), '_{2,}', '', 'g')) AS cleaned FROM documents".replace('""', '"'),
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[PAGE:\d+\]', '', 'g'), '\s+', ' ', 'g'), 'https://t\.me/\S+', '', 'g'), '(?i)Previous\s+Next.*?Pause', '', 'g'), '(?i)Score\s+Report.*?Pause', '', 'g'), '\s*["'',~-]+\s*$', '', 'g'), '_{2,}', '', 'g')) AS cleaned FROM documents""",
 )
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _q(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
