@@ -95,6 +95,9 @@ def judged(texts: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFr
     places = _sql(spark.sql("SELECT w, n, at, many, colon, stopped, explode(sequence(1, n)) AS i FROM {w}", w=words), _PLACE, "words")
     final = _sql(spark.sql("SELECT *, n AS i FROM {w} WHERE at = many - 1", w=words), _PLACE, "words")
     final = _sql(final, _OPEN, "final")
+    # A text that ends with a full stop is settled where it lies; only the others are looked up.
+    settled = spark.sql("SELECT question_id, letter, source, joining OR opened AS cut FROM {f} WHERE stopped AND NOT marked", f=final)
+    final = final.filter("NOT stopped OR marked")
     count = "count_if(NOT stop AND NOT last) AS inside, count_if(stop) AS ends, count_if(last AND NOT stop) AS bare"
     add = "sum(inside) AS inside, sum(ends) AS ends, sum(bare) AS bare"
     grams = spark.sql(f"SELECT label, a, b, c, {count} FROM {{places}} GROUP BY label, a, b, c", places=places)
@@ -106,7 +109,7 @@ pairs AS (SELECT label, b, c, {add} FROM g GROUP BY label, b, c),
 alone AS (SELECT label, c, {add} FROM g GROUP BY label, c),
 ones AS (SELECT c, {add} FROM g GROUP BY c),
 final AS (SELECT * FROM {{final}}),
-asked AS (SELECT DISTINCT label, a, b, c FROM final WHERE NOT stopped OR marked),
+asked AS (SELECT DISTINCT label, a, b, c FROM final),
 -- words that continue the last one after the same two words, or after the same one
 halves AS (
   SELECT q.label, q.a, q.b, q.c, sum(g.inside + g.ends + g.bare) AS longer
@@ -138,10 +141,10 @@ LEFT JOIN begun u ON f.c = u.c""",
     first = cut_lineage(first)
     # Trigrams that end some sentences and not others: longer contexts of these alone are counted, in a second look at the texts.
     between = "e3 + i3 >= {least} AND e3 >= {share} * (e3 + i3) AND i3 >= {share} * (e3 + i3)"
-    unclear = spark.sql(f"SELECT DISTINCT label, a, b, c FROM {{first}} WHERE (NOT stopped OR marked) AND {between}", first=first, **given)
+    unclear = spark.sql(f"SELECT DISTINCT label, a, b, c FROM {{first}} WHERE {between}", first=first, **given)
     wider = spark.sql("SELECT p.* FROM {places} p LEFT SEMI JOIN {unclear} u ON p.label = u.label AND p.a = u.a AND p.b = u.b AND p.c = u.c", places=places, unclear=unclear)
     longer = spark.sql(f"SELECT label, s, x, y, a, b, c, {count} FROM {{wider}} GROUP BY label, s, x, y, a, b, c", wider=wider)
-    return spark.sql(
+    looked_up = spark.sql(
         f"""
 WITH l AS (SELECT * FROM {{longer}}),
 opening AS (SELECT label, s, a, b, c, {add} FROM l GROUP BY label, s, a, b, c),
@@ -158,7 +161,6 @@ seen AS (
   LEFT JOIN four x ON f.label = x.label AND f.x = x.x AND f.a = x.a AND f.b = x.b AND f.c = x.c)
 SELECT question_id, letter, source, marked, s, i3, e3, i2, e2, i1, e1, h3, h2, begun, is, es, i5, e5, i4, e4, CASE
   WHEN joining OR opened THEN true
-  WHEN stopped AND NOT marked THEN false
   -- half a word: what stands there is hardly ever a word of its own after the same words
   WHEN begun THEN true
   WHEN h3 >= {{least}} AND i3 + e3 < {{share}} * h3 THEN true
@@ -176,6 +178,7 @@ SELECT question_id, letter, source, marked, s, i3, e3, i2, e2, i1, e1, h3, h2, b
 FROM seen""",
         longer=longer, first=first, **given,
     )
+    return looked_up.select("question_id", "letter", "source", "cut").unionByName(settled)
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
