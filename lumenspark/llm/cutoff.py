@@ -94,7 +94,7 @@ def judged(texts: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFr
     words = _sql(_sql(texts, _SENTENCES, "texts"), _WORDS, "sentences")
     places = _sql(spark.sql("SELECT w, n, at, many, colon, stopped, explode(sequence(1, n)) AS i FROM {w}", w=words), _PLACE, "words")
     final = _sql(spark.sql("SELECT *, n AS i FROM {w} WHERE at = many - 1", w=words), _PLACE, "words")
-    final = _sql(final, _OPEN, "final")
+    final = cut_lineage(_sql(final, _OPEN, "final").select("question_id", "letter", "source", "marked", "stopped", "joining", "opened", "label", "s", "y", "x", "a", "b", "c"))
     # A text that ends with a full stop is settled where it lies; only the others are looked up.
     settled = spark.sql("SELECT question_id, letter, source, joining OR opened AS cut FROM {f} WHERE stopped AND NOT marked", f=final)
     final = final.filter("NOT stopped OR marked")
@@ -144,6 +144,7 @@ LEFT JOIN begun u ON f.c = u.c""",
     unclear = spark.sql(f"SELECT DISTINCT label, a, b, c FROM {{first}} WHERE {between}", first=first, **given)
     wider = spark.sql("SELECT p.* FROM {places} p LEFT SEMI JOIN {unclear} u ON p.label = u.label AND p.a = u.a AND p.b = u.b AND p.c = u.c", places=places, unclear=unclear)
     longer = spark.sql(f"SELECT label, s, x, y, a, b, c, {count} FROM {{wider}} GROUP BY label, s, x, y, a, b, c", wider=wider)
+    longer = cut_lineage(longer)  # three branches read it
     looked_up = spark.sql(
         f"""
 WITH l AS (SELECT * FROM {{longer}}),
