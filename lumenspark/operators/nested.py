@@ -107,6 +107,57 @@ def tagged_rows(files: DataFrame) -> DataFrame:
     return read.mapInArrow(_emit, TAGGED).dropDuplicates(["file_id", "key"])
 
 
+#: The shape in which the ``domains`` column holds a file.
+DOMAINS = "array<struct<name: string, topics: array<struct<name: string, subtopics: array<string>>>>>"
+_SHAPED = pa.schema([("file_id", pa.int64()), ("domains", pa.list_(pa.struct([("name", pa.string()), ("topics", pa.list_(pa.struct([("name", pa.string()), ("subtopics", pa.list_(pa.string()))])))])))])
+
+
+def _text(value: object) -> str | None:
+    return value if isinstance(value, str) else None
+
+
+def _shape(entry: object) -> dict | None:
+    """An entry of a JSON file in the column's shape; every entry stays, blank or not."""
+    if not isinstance(entry, dict):
+        return None
+    topics = []
+    for t in _list(entry.get("topics")):
+        subs = [_text(x.get("name")) if isinstance(x, dict) else _text(x) for x in _list(t.get("subtopics"))] if isinstance(t, dict) else []
+        topics.append({"name": _text(t.get("name")), "subtopics": subs} if isinstance(t, dict) else None)
+    return {"name": _text(entry.get("name")), "topics": topics}
+
+
+def _read_raw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        # A file at a time: a file may be long.
+        for file_id, raw in zip(b.column("file_id"), b.column("raw_json")):
+            yield pa.RecordBatch.from_pylist([{"file_id": file_id.as_py(), "domains": [_shape(x) for x in _domains(raw.as_py())]}], schema=_SHAPED)
+
+
+def held_domains(files: DataFrame) -> DataFrame:
+    """(file_id, domains) of every file, whether it is held in ``domains`` or as text; nothing is left out."""
+    shape = "transform(domains, d -> if(d IS NULL, NULL, named_struct('name', d.name, 'topics', transform(d.topics, t -> if(t IS NULL, NULL, named_struct('name', t.name, 'subtopics', t.subtopics))))))"
+    kept = files.filter("domains IS NOT NULL").select("file_id", F.expr(shape).cast(DOMAINS).alias("domains"))
+    raw = files.filter("domains IS NULL AND raw_json IS NOT NULL").select("file_id", "raw_json")
+    return kept.unionByName(raw.mapInArrow(_read_raw, f"file_id bigint, domains {DOMAINS}"))
+
+
+def flattened(files: DataFrame) -> DataFrame:
+    """(file_id, domain, topic, subtopic), each once; a topic without subtopics is its own."""
+    d = held_domains(files).select("file_id", F.explode("domains").alias("d"))
+    t = d.select("file_id", F.col("d.name").alias("domain"), F.explode("d.topics").alias("t")).filter("t.name IS NOT NULL")
+    s = t.select("file_id", "domain", F.col("t.name").alias("topic"), F.explode_outer("t.subtopics").alias("subtopic"))
+    return s.select("file_id", "domain", "topic", F.coalesce("subtopic", "topic").alias("subtopic")).distinct()
+
+
+def counted(files: DataFrame) -> DataFrame:
+    """One row: the numbers of different names of domains, topics and subtopics."""
+    d = held_domains(files).select(F.explode("domains").alias("d"))
+    t = d.select(F.col("d.name").alias("domain"), F.explode_outer("d.topics").alias("t"))
+    s = t.select("domain", F.col("t.name").alias("topic"), F.explode_outer("t.subtopics").alias("subtopic"))
+    return s.agg(*(F.count_distinct(c).alias(f"n_{c}s") for c in ("domain", "topic", "subtopic")))
+
+
 def write_tables(tagged: DataFrame, path: str) -> None:
     """Write the tagged rows once, a folder for each table."""
     tagged.write.mode("overwrite").partitionBy("tag").parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspark.functions import text
-from lumenspark.operators import bank
+from lumenspark.operators import bank, nested
 from lumenspark.plans.registry import Registry
 from lumenspark.sources.tables import table
 
@@ -170,16 +170,22 @@ registry.add_sql("answer_argmax", "SELECT question_id, max_by(k, struct(length(v
 registry.add_sql("option_letters_pivot", "SELECT source, count(CASE WHEN upper(trim(correct_answer)) = 'A' THEN 1 END) AS a, count(CASE WHEN upper(trim(correct_answer)) = 'B' THEN 1 END) AS b, count(CASE WHEN upper(trim(correct_answer)) = 'C' THEN 1 END) AS c, count(CASE WHEN upper(trim(correct_answer)) = 'D' THEN 1 END) AS d FROM @qbank_amboss_openai_evaluated GROUP BY source")
 registry.add_sql("validate_question", "SELECT question_id, trim(coalesce(question, '')) <> '' AND coalesce(cardinality(options), 0) >= 1 AND trim(coalesce(correct_answer, '')) <> '' AS ok FROM @qbank_amboss_openai_evaluated", "SELECT question_id, trim(coalesce(question, '')) <> '' AND coalesce(len(map_keys(options)), 0) >= 1 AND trim(coalesce(correct_answer, '')) <> '' AS ok FROM @qbank_amboss_openai_evaluated")
 
-registry.add_sql(
+@registry.add(
     "hierarchy_flatten",
-    "SELECT DISTINCT file_id, domain, topic, coalesce(subtopic, topic) AS subtopic FROM (SELECT file_id, d.name AS domain, t.name AS topic, explode_outer(t.subtopics) AS subtopic FROM (SELECT file_id, d, explode(d.topics) AS t FROM (SELECT file_id, explode(domains) AS d FROM @all_domains_with_subtopics)) WHERE t.name IS NOT NULL)",
-    "SELECT DISTINCT file_id, domain, topic, coalesce(subtopic, topic) AS subtopic FROM (SELECT file_id, d.name AS domain, t.name AS topic, unnest(CASE WHEN t.subtopics IS NULL OR len(t.subtopics) = 0 THEN [NULL] ELSE t.subtopics END) AS subtopic FROM (SELECT file_id, d, unnest(d.topics) AS t FROM (SELECT file_id, unnest(domains) AS d FROM @all_domains_with_subtopics)) WHERE t.name IS NOT NULL)",
+    "SELECT DISTINCT file_id, domain, topic, coalesce(subtopic, topic) AS subtopic FROM (SELECT file_id, d.name AS domain, t.name AS topic, unnest(CASE WHEN t.subtopics IS NULL OR len(t.subtopics) = 0 THEN [NULL] ELSE t.subtopics END) AS subtopic FROM (SELECT file_id, d, unnest(d.topics) AS t FROM (SELECT file_id, unnest(domains) AS d FROM all_domains_with_subtopics)) WHERE t.name IS NOT NULL)",
 )
-registry.add_sql(
+def hierarchy_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files held as text are read too, which the SQL leaves out."""
+    return nested.flattened(_q(spark, sf_dir, "all_domains_with_subtopics"))
+
+
+@registry.add(
     "hierarchy_counts",
-    "SELECT count(DISTINCT d.name) AS n_domains, count(DISTINCT t.name) AS n_topics FROM (SELECT d, explode_outer(d.topics) AS t FROM (SELECT explode(domains) AS d FROM @all_domains_with_subtopics))",
-    "SELECT count(DISTINCT d.name) AS n_domains, count(DISTINCT t.name) AS n_topics FROM (SELECT d, unnest(CASE WHEN len(d.topics) > 0 THEN d.topics ELSE [NULL] END) AS t FROM (SELECT unnest(domains) AS d FROM @all_domains_with_subtopics))",
+    "SELECT count(DISTINCT d.name) AS n_domains, count(DISTINCT t.name) AS n_topics FROM (SELECT d, unnest(CASE WHEN len(d.topics) > 0 THEN d.topics ELSE [NULL] END) AS t FROM (SELECT unnest(domains) AS d FROM all_domains_with_subtopics))",
 )
+def hierarchy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With files held as text and the number of subtopics, which the SQL leaves out."""
+    return nested.counted(_q(spark, sf_dir, "all_domains_with_subtopics"))
 
 
 @registry.add("overlapping_batches", "SELECT source, b AS batch, page FROM (SELECT DISTINCT source, page FROM documents WHERE page IS NOT NULL AND source IS NOT NULL) p JOIN (SELECT unnest(generate_series(0, 1000)) AS b) g ON p.page >= greatest(0, b * 3 - 2) AND p.page < b * 3 + 3 + 2 AND b * 3 - 2 <= p.page")

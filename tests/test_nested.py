@@ -50,3 +50,13 @@ def test_long_and_deep_text(spark):
     big = json.dumps([{"name": "d", "topics": [{"name": "t", "subtopics": ["s"] * 30_000}]}])
     assert len(leaves(rows(spark, (1, None, big)))) == 30_000
     assert leaves(rows(spark, (1, None, "[" * 100_000))) == []
+
+
+def test_flattened_and_counted_read_both_columns(spark):
+    raw = '{"data": [{"name": "D", "topics": {"name": "T", "subtopics": [{"name": "S", "hours": 1}, "U"]}}, {"name": "E", "topics": [{"name": "V"}, {"name": null}, 3]}, 4]}'
+    kept = [{"name": "F", "level": None, "topics": [{"name": "W", "subtopics": ["S", None]}, {"name": "X", "subtopics": []}]}, {"name": "G", "level": None, "topics": None}]
+    schema = "file_id bigint, domains array<struct<name string, level string, topics array<struct<name string, subtopics array<string>>>>>, raw_json string"
+    df = spark.createDataFrame([(1, None, raw), (2, kept, None), (1, None, raw), (3, None, "{"), (4, None, None)], schema)
+    got = sorted(map(tuple, nested.flattened(df).collect()))
+    assert got == [(1, "D", "T", "S"), (1, "D", "T", "U"), (1, "E", "V", "V"), (2, "F", "W", "S"), (2, "F", "W", "W"), (2, "F", "X", "X")]
+    assert tuple(nested.counted(df).first()) == (4, 4, 2)
