@@ -143,8 +143,9 @@ for _name, _phrases, _column in (("dont_know_turns", DONT_KNOW, "said"), ("wants
         _text.replace("{hit}", any_of_spark(_column, _phrases)).replace("{from}", _TEXTS),
         _text.replace("{hit}", any_of(_column, _phrases)).replace("{from}", _TEXTS_DUCK),
     )
+# In older saves a tutor's message is a row of its own and no turn.
 registry.add_sql(
     "last_k_turns",
-    "SELECT conv_id, rn AS back, said FROM (SELECT conv_id, said, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS rn FROM (SELECT conv_id, pos, m.`user` AS said FROM (SELECT conv_id, posexplode(messages) AS (pos, m) FROM (SELECT conv_id, max_by(messages, struct(saved_at, size(messages))) AS messages FROM @tutor_conversations GROUP BY conv_id)))) WHERE rn <= 4",
+    "SELECT conv_id, rn AS back, said FROM (SELECT conv_id, said, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS rn FROM (SELECT conv_id, pos, coalesce(m.`user`, CASE WHEN m.role = 'user' THEN m.content END) AS said FROM (SELECT conv_id, posexplode(messages) AS (pos, m) FROM (SELECT conv_id, max_by(messages, struct(saved_at, size(messages))) AS messages FROM @tutor_conversations GROUP BY conv_id)) WHERE m.`user` IS NOT NULL OR coalesce(m.role, 'user') = 'user')) WHERE rn <= 4",
     "SELECT conv_id, rn AS back, said FROM (SELECT conv_id, said, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS rn FROM (SELECT conv_id, pos, m.\"user\" AS said FROM (SELECT conv_id, generate_subscripts(messages, 1) AS pos, unnest(messages) AS m FROM (SELECT conv_id, arg_max(messages, (saved_at, len(messages))) AS messages FROM @tutor_conversations GROUP BY conv_id)))) WHERE rn <= 4",
 )

@@ -105,7 +105,8 @@ _SET = "list_filter(list_distinct(regexp_extract_all(lower(t), '[a-z0-9_]+')), l
 def novel_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Student turns that are not similar (Jaccard 0.3) to an earlier one: looked up in the conversation's own list, no pairs are made."""
     last = table(spark, sf_dir, "tutor_conversations").groupBy("conv_id").agg(F.max_by("messages", F.struct("saved_at", F.size("messages"))).alias("m"))
-    said = F.filter(F.transform("m", lambda x: x["user"]), lambda t: t.isNotNull())
+    # Older saves hold role and content.
+    said = F.filter(F.transform("m", lambda x: F.coalesce(x["user"], F.when(x["role"] == "user", x["content"]))), lambda t: t.isNotNull())
     sets = last.select("conv_id", F.transform(said, lambda t: text.word_set(t, text.STOP_WORDS, 2)).alias("s")).filter(F.size("s") > 0)
     similar = lambda w, i: F.exists(F.slice("s", F.lit(1), i), lambda e: F.coalesce(text.jaccard(e, w) >= 0.3, F.lit(False)))
     novel = F.filter("s", lambda w, i: ~F.coalesce(similar(w, i), F.lit(False)))
