@@ -162,7 +162,15 @@ def sample_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 registry.add_sql("source_page_counts", "SELECT source, count(*) AS n_chunks, count(DISTINCT page) AS n_pages, sum(n_chars) AS n_chars FROM @documents GROUP BY source", "SELECT source, count(*) AS n_chunks, count(DISTINCT page) AS n_pages, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM @documents GROUP BY source")
 registry.add_sql("doc_type_detect", "SELECT doc_id, CASE WHEN contains(lower(source), 'amboss') OR contains(upper(text), 'AMBOSS') THEN 'amboss' WHEN length(trim(text)) < 100 THEN 'scanned' WHEN contains(text, 'Correct Answer:') OR contains(upper(text), 'NBME') THEN 'surgery' ELSE 'surgery' END AS kind FROM @documents")
 registry.add_sql("offset_limit", "SELECT question_id, source FROM @qbank_amboss_openai_evaluated ORDER BY question_id LIMIT 50 OFFSET 100")
-registry.add_sql("nearest_page", "SELECT q.question_id, min_by(d.page, struct(abs(d.page - q.page_number), d.page)) AS page FROM @qbank_amboss_openai_evaluated q JOIN (SELECT DISTINCT page, CAST(floor(page / 40) AS INT) AS cell FROM @documents WHERE page IS NOT NULL) d ON CAST(floor(q.page_number / 40) AS INT) = d.cell GROUP BY q.question_id", "SELECT q.question_id, arg_min(d.page, (abs(d.page - q.page_number), d.page)) AS page FROM @qbank_amboss_openai_evaluated q JOIN (SELECT DISTINCT page, CAST(floor(page / 40) AS INT) AS cell FROM @documents WHERE page IS NOT NULL) d ON CAST(floor(q.page_number / 40) AS INT) = d.cell GROUP BY q.question_id")
+# Pages, not rows, are sorted together: a page's nearest is the next lower or the next higher one of the documents.
+registry.add_sql(
+    "nearest_page",
+    """WITH p AS (SELECT at, max(page) AS page FROM (SELECT DISTINCT page AS at, page FROM @documents WHERE page IS NOT NULL UNION ALL SELECT DISTINCT page_number, NULL FROM @qbank_amboss_openai_evaluated WHERE page_number IS NOT NULL) GROUP BY at),
+n AS (SELECT at, last(page, true) OVER (ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low, first(page, true) OVER (ORDER BY at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS high FROM p),
+b AS (SELECT at, CASE WHEN low IS NULL OR high - at < at - low THEN high ELSE low END AS page FROM n WHERE low IS NOT NULL OR high IS NOT NULL)
+SELECT q.question_id, min_by(b.page, struct(abs(b.page - q.page_number), b.page)) AS page FROM @qbank_amboss_openai_evaluated q JOIN b ON q.page_number = b.at GROUP BY q.question_id""",
+    "SELECT q.question_id, arg_min(d.page, (abs(d.page - q.page_number), d.page)) AS page FROM @qbank_amboss_openai_evaluated q JOIN (SELECT DISTINCT page, CAST(floor(page / 40) AS INT) AS cell FROM @documents WHERE page IS NOT NULL) d ON CAST(floor(q.page_number / 40) AS INT) = d.cell GROUP BY q.question_id",
+)
 registry.add_sql("sequence_complete", "SELECT source_file, count(*) AS n, count(DISTINCT page_number) = max(page_number) - min(page_number) + 1 AS complete FROM @qbank_amboss_openai_evaluated WHERE page_number IS NOT NULL GROUP BY source_file")
 registry.add_sql("page_inference", "SELECT question_id, CAST(least(floor((question_id - 1) / 2) + 1, 500) AS BIGINT) AS page FROM @qbank_amboss_openai_evaluated")
 registry.add_sql("question_vignette_age", "SELECT question_id, TRY_CAST(regexp_extract(question, '([0-9]+)-year-old', 1) AS INT) AS age FROM @generated_question")

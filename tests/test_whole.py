@@ -30,3 +30,9 @@ def test_last_turns_of_both_shapes(spark, tmp_path):
     got = rows(spark, tmp_path, "last_k_turns", tutor_conversations=conversations())
     assert [r for r in got if r[0] == 1] == [(1, k, f"older question number{5 - k} word{5 - k}") for k in (1, 2, 3, 4)]
     assert [r for r in got if r[0] != 1] == [(2, 1, None), (2, 2, "green apple tree"), (2, 3, "green apple tree")]
+
+
+def test_nearest_page_against_all_pages(spark, tmp_path):
+    pages, asked = [3, 38, 45, 79, 200, 200, None], [1, 3, 4, 40, 41, 42, 62, 139, 140, 500, -7, None]
+    got = rows(spark, tmp_path, "nearest_page", documents=([(p,) for p in pages], "page int"), qbank_amboss_openai_evaluated=(list(enumerate(asked)), "question_id bigint, page_number int"))
+    assert got == [(i, min((p for p in pages if p), key=lambda p: (abs(p - a), p))) for i, a in enumerate(asked) if a is not None]
