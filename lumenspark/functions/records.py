@@ -106,8 +106,10 @@ ERROR_WORDS = (
 
 
 def error_kind(message: Column) -> Column:
+    """The first kind whose words the message holds, wherever in it and on whatever lines; else the message, cut at 80 characters."""
     low, out = F.lower(message), None
     for kind, words in ERROR_WORDS:
+        words = words.replace(r"[^\n]*", r"[\s\S]*")
         out = F.when(low.rlike(words), kind) if out is None else out.when(low.rlike(words), kind)
     return out.otherwise(F.when(F.length(message) > 80, F.concat(F.left(message, F.lit(80)), F.lit("..."))).otherwise(message))
 

@@ -152,8 +152,8 @@ _KINDS = " ".join(f"WHEN regexp_matches(lower(t), '{w}') THEN '{k}'" for k, w in
 
 @registry.add("error_category", f"SELECT kind, count(*) AS n FROM (SELECT CASE {_KINDS} WHEN length(t) > 80 THEN left(t, 80) || '...' ELSE t END AS kind FROM (SELECT string_split(text, chr(10))[1] AS t FROM documents)) GROUP BY kind")
 def error_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "documents").select(F.split("text", "\n")[0].alias("t"))
-    return first.groupBy(records.error_kind(F.col("t")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    whole = table(spark, sf_dir, "documents").select(F.col("text").alias("t"))
+    return whole.groupBy(records.error_kind(F.col("t")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @registry.add(

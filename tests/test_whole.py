@@ -36,3 +36,14 @@ def test_nearest_page_against_all_pages(spark, tmp_path):
     pages, asked = [3, 38, 45, 79, 200, 200, None], [1, 3, 4, 40, 41, 42, 62, 139, 140, 500, -7, None]
     got = rows(spark, tmp_path, "nearest_page", documents=([(p,) for p in pages], "page int"), qbank_amboss_openai_evaluated=(list(enumerate(asked)), "question_id bigint, page_number int"))
     assert got == [(i, min((p for p in pages if p), key=lambda p: (abs(p - a), p))) for i, a in enumerate(asked) if a is not None]
+
+
+def test_error_category_of_the_whole_text(spark, tmp_path):
+    texts = ["Note\n\nThe request timed out.", "Timeout", "The rate is high.\nSee the limit.", "A limit\nof the rate", "Note\n" + "x" * 5000 + "\ncould not parse it", "Note\nof a ward", "y" * 81, None]
+    got = {k: n for k, n in entry_rows(spark, tmp_path, texts)}
+    assert got == {"timeout": 2, "rate": 2, "format": 1, "Note\nof a ward": 1, "y" * 80 + "...": 1, None: 1}
+
+
+def entry_rows(spark, path, texts):
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{path}/documents.parquet")
+    return entry.queries()["error_category"](spark, str(path)).collect()
