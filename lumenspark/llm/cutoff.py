@@ -12,7 +12,8 @@ looks decide what a trigram alone can't:
     other joining mark at the end, and a broken character leave a text unfinished.
 A mark of omission is taken off first; it proves nothing by itself ("and so on...").
 
-All counts are over all texts. They are partly aggregated before the exchange, and
+All counts are over all different texts: copies of a text count once, so that those of
+a cut one don't vouch for each other. They are partly aggregated before the exchange, and
 the final trigrams are looked up by an ordinary equi-join; the halves of words by
 a join on the two words before, against distinct trigrams only.
 
@@ -90,13 +91,23 @@ def explanation_texts(generated: DataFrame, bank: DataFrame) -> DataFrame:
 def judged(texts: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """(question_id, letter, source, cut) of every text that isn't blank."""
     spark = texts.sparkSession
+    # Copies are found by a digest; each different text is counted and judged once.
+    rows = texts.filter("trim(text) <> ''").withColumn("h", F.unhex(F.md5("text")))
+    unlike = cut_lineage(rows.groupBy("h").agg(F.first("text").alias("text")))  # read three times
+    verdicts = _verdicts(unlike, least, share)
+    return rows.select("question_id", "letter", "source", "h").join(verdicts, "h").select("question_id", "letter", "source", "cut")
+
+
+def _verdicts(texts: DataFrame, least: int, share: float) -> DataFrame:
+    """(h, cut) of different texts (h, text)."""
+    spark = texts.sparkSession
     given = {"least": int(least), "share": float(share)}
     words = _sql(_sql(texts, _SENTENCES, "texts"), _WORDS, "sentences")
     places = _sql(spark.sql("SELECT w, n, at, many, colon, stopped, explode(sequence(1, n)) AS i FROM {w}", w=words), _PLACE, "words")
     final = _sql(spark.sql("SELECT *, n AS i FROM {w} WHERE at = many - 1", w=words), _PLACE, "words")
-    final = cut_lineage(_sql(final, _OPEN, "final").select("question_id", "letter", "source", "marked", "stopped", "joining", "opened", "label", "s", "y", "x", "a", "b", "c"))
+    final = cut_lineage(_sql(final, _OPEN, "final").select("h", "marked", "stopped", "joining", "opened", "label", "s", "y", "x", "a", "b", "c"))
     # A text that ends with a full stop is settled where it lies; only the others are looked up.
-    settled = spark.sql("SELECT question_id, letter, source, joining OR opened AS cut FROM {f} WHERE stopped AND NOT marked", f=final)
+    settled = spark.sql("SELECT h, joining OR opened AS cut FROM {f} WHERE stopped AND NOT marked", f=final)
     final = final.filter("NOT stopped OR marked")
     count = "count_if(NOT stop AND NOT last) AS inside, count_if(stop) AS ends, count_if(last AND NOT stop) AS bare"
     add = "sum(inside) AS inside, sum(ends) AS ends, sum(bare) AS bare"
@@ -142,6 +153,7 @@ LEFT JOIN begun u ON f.c = u.c""",
     # Trigrams that end some sentences and not others: longer contexts of these alone are counted, in a second look at the texts.
     between = "e3 + i3 >= {least} AND e3 >= {share} * (e3 + i3) AND i3 >= {share} * (e3 + i3)"
     unclear = spark.sql(f"SELECT DISTINCT label, a, b, c FROM {{first}} WHERE {between}", first=first, **given)
+    unclear = cut_lineage(unclear)  # its size is then known, and it is sent round where it is small
     wider = spark.sql("SELECT p.* FROM {places} p LEFT SEMI JOIN {unclear} u ON p.label = u.label AND p.a = u.a AND p.b = u.b AND p.c = u.c", places=places, unclear=unclear)
     longer = spark.sql(f"SELECT label, s, x, y, a, b, c, {count} FROM {{wider}} GROUP BY label, s, x, y, a, b, c", wider=wider)
     longer = cut_lineage(longer)  # three branches read it
@@ -160,7 +172,7 @@ seen AS (
   LEFT JOIN opening s ON f.label = s.label AND f.s = s.s AND f.a = s.a AND f.b = s.b AND f.c = s.c
   LEFT JOIN five v ON f.label = v.label AND f.y = v.y AND f.a = v.a AND f.b = v.b AND f.c = v.c
   LEFT JOIN four x ON f.label = x.label AND f.x = x.x AND f.a = x.a AND f.b = x.b AND f.c = x.c)
-SELECT question_id, letter, source, marked, s, i3, e3, i2, e2, i1, e1, h3, h2, begun, is, es, i5, e5, i4, e4, CASE
+SELECT h, marked, s, i3, e3, i2, e2, i1, e1, h3, h2, begun, is, es, i5, e5, i4, e4, CASE
   WHEN joining OR opened THEN true
   -- half a word: what stands there is hardly ever a word of its own after the same words
   WHEN begun THEN true
@@ -179,7 +191,7 @@ SELECT question_id, letter, source, marked, s, i3, e3, i2, e2, i1, e1, h3, h2, b
 FROM seen""",
         longer=longer, first=first, **given,
     )
-    return looked_up.select("question_id", "letter", "source", "cut").unionByName(settled)
+    return looked_up.select("h", "cut").unionByName(settled)
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:

@@ -23,3 +23,14 @@ def test_texts(spark):
     made = spark.createDataFrame([(1, {"A": "a", "B": None}, "s"), (2, None, "s")], "question_id bigint, explanations map<string,string>, source string")
     bank = spark.createDataFrame([(3, {"A": "x", "B": "y"}, "t"), (4, {"B": "y"}, "t")], "question_id bigint, explanations map<string,string>, source string")
     assert sorted(tuple(r) for r in cutoff.explanation_texts(made, bank).collect()) == [(1, "A", "s", "a"), (3, "A", "t", "x")]
+
+
+def test_copies_of_a_cut_text_lend_no_evidence(spark):
+    heads = ["First", "Then", "Later", "Often", "Here", "Usually", "Again", "Now", "Today", "Indeed", "Maybe", "Also"]
+    base = [(i, "A", "s", f"{h} the valve cannot close in this case. {h} giving aspirin would worsen the condition of the patient.") for i, h in enumerate(heads)]
+    cut = ["Here we see that the valve cannot close in this", "They agree that giving aspirin would worsen the condi"]
+    whole = "They agree that the valve cannot close in this case"
+    rows = base + [(1000 * k + i, "C", f"s{i % 3}", t) for k, t in enumerate(cut, 1) for i in range(20)] + [(3000 + i, "C", "s", whole) for i in range(20)]
+    df = spark.createDataFrame(rows, "question_id bigint, letter string, source string, text string")
+    assert {r.question_id for r in cutoff.cut_texts(df).collect()} == {1000 * k + i for k in (1, 2) for i in range(20)}
+    assert sum(r.n_cut for r in cutoff.cut_report(df).collect()) == 40
