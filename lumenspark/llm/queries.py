@@ -31,6 +31,11 @@ def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.recurring_messages(table(spark, sf_dir, "documents"))
 
 
+@registry.add("p9_report")
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_report(table(spark, sf_dir, "documents"))
+
+
 def _explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.explanation_texts(table(spark, sf_dir, "generated_question"), table(spark, sf_dir, "qbank_amboss_openai_evaluated"))
 

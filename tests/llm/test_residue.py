@@ -1,5 +1,3 @@
-import pytest
-
 from lumenspark.llm import residue
 
 CASES = [
@@ -7,6 +5,7 @@ CASES = [
     ("A field such as {{name}} is filled by the server.", False), ("The set {A, B, D} is right.", False), ("A rise of [H+] by 4 nmol/L.", False), ("Values <4 mmol/L or >20 mmol/L need a call.", False), ("It costs $5 to $12 [see note 5].", False),
     ("Lorem ipsum dolor sit amet.", True), ("TODO add figure.", True), ("The heading now reads TODAY.", False), ("Todo paciente mejora.", False), ("Sample text.", True), ("Escriba aquí su texto.", True), ("xxxxx xxxxx", True), ("Text text text text.", True), ("Hay dolor abdominal.", False),
     ("404 Not Found", True), ("Please enable JavaScript to view this page.", True), ("The timer depends on JavaScript, so ask the desk.", False), ("Access denied.", True), ("The access denied by the artery was replaced.", False), ("If the quiz shows error 404, sign out.", False), ("请启用脚本后刷新页面。", True), ("Please try again later.", False), ("", False), (None, False),
+    ("text, text, text", True), ("Bla, bla, bla.", True), ("Quis nunc sed vitae porta.", True), ("Dear {% patient_name %}, hello.", True), ("The access\ndenied page came up. Please enable\nJavaScript to view this page.", True), ("Oops! The key points are these.", False),
 ]
 
 
@@ -27,6 +26,15 @@ def test_beside_needs_several_sources(spark):
     assert {r.doc_id for r in residue.residue_documents(two).collect()} == {1, 2, 3}
 
 
-@pytest.mark.parametrize("a,b", [("Error code 20: wait 7 seconds.", "Error code 3: wait 99 seconds."), ("See https://a.b/c on 2024-01-02", "See https://x.y/z on 2023-12-31")])
-def test_masks(a, b):
-    assert residue.masked(a) == residue.masked(b)
+def test_masks(spark):
+    rows = [(1, "Error code 20: wait 7 seconds. See https://a.b/c on 2024-01-02", "a"), (2, "Error code 3: wait 99 seconds. See https://x.y/z on 2023-12-31", "b"), (3, "> Mail a.b@c.de\n> at 10:30 now", None)]
+    found = residue.occurrences(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert {r.message for r in found if r.doc_id == 1} == {r.message for r in found if r.doc_id == 2} == {"Error code #: wait # seconds", "See # on #"}
+    assert {r.message for r in found if r.doc_id == 3} == {"> Mail #", "> at # now", "> Mail # at # now"}
+
+
+def test_kinds_and_recurrence(spark):
+    rows = [(1, "Dear {{name}}, hi.", "a"), (2, "Service unavailable.\nOops!", "a"), (3, "Service unavailable.", "b"), (4, "Lorem ipsum dolor sit amet.", "a"), (5, "Oops!", "b"), (6, "Plain text.", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {tuple(r) for r in residue.residue_report(df).collect()} == {("placeholder", 1, 0), ("notice", 3, 3), ("filler", 1, 0)}
+    assert {tuple(r) for r in residue.recurring_messages(df).collect()} >= {("Service unavailable", "notice", 2, 2), ("Oops", "notice", 2, 2)}
