@@ -1,21 +1,24 @@
 """Texts cut off before their end.
 
-Pure SQL. Words are runs without white space, lower-cased, digits masked. For each
-word trigram of the collection two counts are kept: how often a sentence or text
-goes on after it and how often one ends there. A text is cut where its last
-trigram is frequent inside sentences and (almost) never ends one. Three further
-looks decide what a trigram alone can't:
-  * the last word may be half a word: the trigram as it stands is (nearly)
-    unknown, but words that continue the last one follow the same two words;
-  * where a trigram is rare, the last two words, then the last one, decide;
+Pure SQL. Words are runs without white space, lower-cased, digits masked; they are
+hashed, and the trigrams of every place of every different text are counted as
+numbers in one pass: how often a sentence or text goes on after one and how often
+one ends there. The final trigrams of all texts, whatever they end in, are looked up
+by an equi-join; a text is cut where its last trigram is frequent inside sentences
+and (almost) never ends one. Where that doesn't decide,
   * a bracket or quotation opened in the last sentence and never closed, a comma or
-    other joining mark at the end, and a broken character leave a text unfinished.
+    other joining mark at the end, and a broken character leave a text unfinished;
+  * a full stop settles it;
+  * the last word may be half a word: the trigram as it stands is (nearly) unknown,
+    but trigrams with a longer last word are known;
+  * a trigram that ends some sentences and not others is looked up with four and five
+    words and with the sentence's opening, which are counted for such trigrams only;
+  * where a trigram is rare, the last two words, then the last one, decide.
 A mark of omission is taken off first; it proves nothing by itself ("and so on...").
 
 All counts are over all different texts: copies of a text count once, so that those of
-a cut one don't vouch for each other. They are partly aggregated before the exchange, and
-the final trigrams are looked up by an ordinary equi-join; the halves of words by
-a join on the two words before, against distinct trigrams only.
+a cut one don't vouch for each other. They are partly aggregated before the exchange.
+Two of n different keys share a 64-bit number with a probability of n^2 / 2^65.
 
 Defined cases: null and blank texts are no cases; texts of one or two words are
 judged by what they have; null sources form a source of their own; repeated rows of
@@ -37,41 +40,39 @@ _ENDS = "[.!?。！？][\"”’)\\\\]]*$"
 #: frequent enough to decide; share of ends below which a trigram doesn't end a text, and above whose complement it does
 LEAST, SHARE = 8, 0.08
 
-#: The sentences of each text, the last one marked.
+#: The sentences of each text. Only a text that may end in a mark of omission is searched for one.
 _SENTENCES = """
-SELECT * EXCEPT (sentences), posexplode(sentences) AS (at, sentence), size(sentences) AS many
+SELECT h, marked, posexplode(sentences) AS (at, sentence), size(sentences) AS many
 FROM (
-  SELECT * EXCEPT (text), text RLIKE '{mark}' AS marked,
-    split(regexp_replace(trim(regexp_replace(regexp_replace(text, '{mark}', ''), '\\\\s+', ' ')), '([.!?。！？]["”’)\\\\]]*) ', '$1\\n'), '\\n') AS sentences
-  FROM {texts} WHERE text IS NOT NULL AND trim(text) <> '')
+  SELECT h, marked, split(trim(translate(CASE WHEN marked THEN regexp_replace(text, '{mark}', '') ELSE text END, '\\n\\t\\r', '   ')), '(?<=[.!?。！？]|[.!?。！？]["”’)\\\\]]) +') AS sentences
+  FROM (SELECT h, text, right(rtrim(text), 1) IN ('.', '…', ']') AND text RLIKE '{mark}' AS marked FROM {texts}))
 """
 
+#: Their words, the stop taken off the last one.
 _WORDS = """
-SELECT *, size(w) AS n, sentence RLIKE '{ends}' AS stopped, array_position(transform(w, v -> v LIKE '%:'), true) AS colon
-FROM (SELECT *, filter(split(lower(regexp_replace(sentence, '{number}', '#')), ' '), v -> v <> '') AS w FROM {sentences})
+SELECT h, marked, at = many - 1 AS last, stopped, w, size(w) AS n, coalesce(array_position(transform(w, v -> endswith(v, ':')), true), 0) AS colon,
+  CASE WHEN at = many - 1 THEN sentence RLIKE '[,;:(\\\\[/&+=–—-]$|�' END AS joining,
+  CASE WHEN at = many - 1 THEN regexp_replace(sentence, '\\\\([^()]*\\\\)|"[^"]*"|“[^“”]*”', '') RLIKE '[("“]' END AS opened
+FROM (
+  SELECT *, filter(split(lower(regexp_replace(CASE WHEN stopped THEN regexp_replace(sentence, '{ends}', '') ELSE sentence END, '{number}', '#')), ' '), v -> v <> '') AS w
+  FROM (SELECT *, right(sentence, 1) IN ('.', '!', '?', '。', '！', '？', '"', '”', '’', ')', ']') AND sentence RLIKE '{ends}' AS stopped FROM {sentences}))
 WHERE size(w) > 0
 """
 
-#: Place i of a sentence: its opening words, the five words up to i, whether a label stands before, what follows.
+#: Word i of a sentence as numbers: label before it or not, its two words before (ka) or one (kb), itself (c); what follows.
 _PLACE = """
-SELECT * EXCEPT (w),
-  CASE WHEN i >= 2 THEN concat_ws(' ', get(w, 0), get(w, 1)) ELSE get(w, 0) END AS s,
-  CASE WHEN i >= 5 THEN concat_ws(' ', get(w, i - 5), get(w, i - 4)) ELSE '^' END AS y,
-  CASE WHEN i >= 4 THEN get(w, i - 4) ELSE '^' END AS x,
-  CASE WHEN i >= 3 THEN get(w, i - 3) ELSE '^' END AS a,
-  CASE WHEN i >= 2 THEN get(w, i - 2) ELSE '^' END AS b,
-  regexp_replace(get(w, i - 1), '{ends}', '') AS c,
-  colon > 0 AND colon < i AS label, i = n AND stopped AS stop, i = n AND at = many - 1 AS last
+SELECT *, colon > 0 AND colon < i AS label,
+  xxhash64(colon > 0 AND colon < i, get(w, i - 3), get(w, i - 2)) AS ka, xxhash64(colon > 0 AND colon < i, get(w, i - 2)) AS kb, xxhash64(get(w, i - 1)) AS c,
+  i = n AND stopped AS stop, i = n AND last AS final
 FROM {words}
 """
 
-
-#: Endings that join something on, and what the last sentence opens and does not close.
-_OPEN = """
-SELECT * EXCEPT (sentence), sentence RLIKE '[,;:(\\\\[/&+=–—-]$|�' AS joining,
-  regexp_replace(sentence, '\\\\([^()]*\\\\)|"[^"]*"|“[^“”]*”', '') RLIKE '[("“]' AS opened
-FROM {final}
-"""
+#: The longer contexts of a trigram: the sentence's opening, the five words and the four words up to i.
+_LONGER = """array(
+  xxhash64(1, ka, c, CASE WHEN i >= 2 THEN get(w, 0) END, get(w, CASE WHEN i >= 2 THEN 1 ELSE 0 END)),
+  xxhash64(2, ka, c, CASE WHEN i >= 5 THEN get(w, i - 5) END, CASE WHEN i >= 5 THEN get(w, i - 4) END),
+  xxhash64(3, ka, c, CASE WHEN i >= 4 THEN get(w, i - 4) END))"""
+_COUNT = "count_if(NOT stop AND NOT final) AS inside, count_if(stop) AS ends, count_if(final AND NOT stop) AS bare"
 
 
 def _sql(df: DataFrame, text: str, view: str) -> DataFrame:
@@ -89,109 +90,99 @@ def explanation_texts(generated: DataFrame, bank: DataFrame) -> DataFrame:
 
 
 def judged(texts: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """(question_id, letter, source, cut) of every text that isn't blank."""
-    spark = texts.sparkSession
+    """(question_id, letter, source, cut, rule) of every text that isn't blank; rule names what decided."""
     # Copies are found by a digest; each different text is counted and judged once.
     rows = texts.filter("trim(text) <> ''").withColumn("h", F.unhex(F.md5("text")))
-    unlike = cut_lineage(rows.groupBy("h").agg(F.first("text").alias("text")))  # read three times
-    verdicts = _verdicts(unlike, least, share)
-    return rows.select("question_id", "letter", "source", "h").join(verdicts, "h").select("question_id", "letter", "source", "cut")
+    verdicts = _verdicts(rows.groupBy("h").agg(F.first("text").alias("text")), least, share)
+    return rows.select("question_id", "letter", "source", "h").join(verdicts, "h").select("question_id", "letter", "source", "cut", "rule")
 
 
 def _verdicts(texts: DataFrame, least: int, share: float) -> DataFrame:
-    """(h, cut) of different texts (h, text)."""
+    """(h, cut, rule) of different texts (h, text)."""
     spark = texts.sparkSession
     given = {"least": int(least), "share": float(share)}
-    words = _sql(_sql(texts, _SENTENCES, "texts"), _WORDS, "sentences")
-    places = _sql(spark.sql("SELECT w, n, at, many, colon, stopped, explode(sequence(1, n)) AS i FROM {w}", w=words), _PLACE, "words")
-    final = _sql(spark.sql("SELECT *, n AS i FROM {w} WHERE at = many - 1", w=words), _PLACE, "words")
-    final = cut_lineage(_sql(final, _OPEN, "final").select("h", "marked", "stopped", "joining", "opened", "label", "s", "y", "x", "a", "b", "c"))
-    # A text that ends with a full stop is settled where it lies; only the others are looked up.
-    settled = spark.sql("SELECT h, joining OR opened AS cut FROM {f} WHERE stopped AND NOT marked", f=final)
-    final = final.filter("NOT stopped OR marked")
-    count = "count_if(NOT stop AND NOT last) AS inside, count_if(stop) AS ends, count_if(last AND NOT stop) AS bare"
-    add = "sum(inside) AS inside, sum(ends) AS ends, sum(bare) AS bare"
-    grams = spark.sql(f"SELECT label, a, b, c, {count} FROM {{places}} GROUP BY label, a, b, c", places=places)
-    grams = cut_lineage(grams)  # three branches read it
-    first = spark.sql(
-        f"""
+    words = cut_lineage(_sql(_sql(texts, _SENTENCES, "texts"), _WORDS, "sentences"))  # texts are cut into words once
+    places = _sql(spark.sql("SELECT *, explode(sequence(1, n)) AS i FROM {w}", w=words), _PLACE, "words")
+    grams = cut_lineage(spark.sql(f"SELECT label, ka, kb, c, {_COUNT} FROM {{p}} GROUP BY label, ka, kb, c", p=places))
+    final = _sql(spark.sql("SELECT *, n AS i FROM {w} WHERE last", w=words), _PLACE, "words")
+    final = spark.sql(f"SELECT h, marked, stopped, joining, opened, label, ka, kb, c, get(w, n - 1) AS word, {_LONGER} AS k FROM {{f}}", f=final)
+    final = cut_lineage(final)
+    add = "sum(inside) AS inside, sum(ends + bare) AS ends"
+    asked = cut_lineage(
+        spark.sql(
+            f"""
 WITH g AS (SELECT * FROM {{grams}}),
-pairs AS (SELECT label, b, c, {add} FROM g GROUP BY label, b, c),
+asked AS (SELECT DISTINCT label, ka, kb, c, word FROM {{final}}),
+vocabulary AS (SELECT word, xxhash64(word) AS c FROM (SELECT DISTINCT explode(w) AS word FROM {{words}})),
+-- the words that go on where a final word stops
+longer AS (
+  SELECT q.c, o.c AS o FROM (SELECT DISTINCT word, c, left(word, 3) AS p FROM asked) q
+  JOIN (SELECT word, c, explode(array_distinct(array(left(word, 1), left(word, 2), left(word, 3)))) AS p FROM vocabulary) o
+  ON q.p = o.p AND startswith(o.word, q.word) AND length(o.word) > length(q.word)),
+pairs AS (SELECT kb, c, {add} FROM g GROUP BY kb, c),
 alone AS (SELECT label, c, {add} FROM g GROUP BY label, c),
-ones AS (SELECT c, {add} FROM g GROUP BY c),
-final AS (SELECT * FROM {{final}}),
-asked AS (SELECT DISTINCT label, a, b, c FROM final),
--- words that continue the last one after the same two words, or after the same one
+ones AS (SELECT c, sum(inside + ends) AS n FROM alone GROUP BY c),
 halves AS (
-  SELECT q.label, q.a, q.b, q.c, sum(g.inside + g.ends + g.bare) AS longer
-  FROM asked q JOIN g ON q.label = g.label AND q.a = g.a AND q.b = g.b AND left(q.c, 1) = left(g.c, 1) AND startswith(g.c, q.c) AND length(g.c) > length(q.c)
-  GROUP BY q.label, q.a, q.b, q.c),
+  SELECT q.ka, q.c, sum(g.inside + g.ends + g.bare) AS n
+  FROM asked q JOIN longer l ON q.c = l.c JOIN g ON g.ka = q.ka AND g.c = l.o GROUP BY q.ka, q.c),
 wide AS (
-  SELECT q.label, q.b, q.c, sum(p.inside + p.ends + p.bare) AS longer
-  FROM (SELECT DISTINCT label, b, c FROM asked) q JOIN pairs p ON q.label = p.label AND q.b = p.b AND left(q.c, 1) = left(p.c, 1) AND startswith(p.c, q.c) AND length(p.c) > length(q.c)
-  GROUP BY q.label, q.b, q.c),
--- words that nobody else uses, and whether they begin a word that is used
-strange AS (SELECT q.c FROM (SELECT DISTINCT c FROM asked WHERE length(c) >= 2) q JOIN ones o ON q.c = o.c WHERE o.inside + o.ends + o.bare <= 1),
+  SELECT q.kb, q.c, sum(p.inside + p.ends) AS n
+  FROM (SELECT DISTINCT kb, c FROM asked) q JOIN longer l ON q.c = l.c JOIN pairs p ON p.kb = q.kb AND p.c = l.o GROUP BY q.kb, q.c),
+-- words that nobody else uses but that begin a word that is used
 begun AS (
-  SELECT DISTINCT q.c FROM strange q JOIN ones o
-  ON substring(q.c, 1, 2) = substring(o.c, 1, 2) AND startswith(o.c, q.c) AND length(o.c) > length(q.c) AND o.inside + o.ends + o.bare > 1)
-SELECT f.*,
-  coalesce(g.inside, 0) AS i3, coalesce(g.ends, 0) + coalesce(g.bare, 0) - own AS e3,
-  coalesce(p.inside, 0) AS i2, coalesce(p.ends, 0) + coalesce(p.bare, 0) - own AS e2,
-  coalesce(o.inside, 0) AS i1, coalesce(o.ends, 0) + coalesce(o.bare, 0) - own AS e1,
-  coalesce(h.longer, 0) AS h3, coalesce(w.longer, 0) AS h2, u.c IS NOT NULL AS begun
-FROM (SELECT *, CASE WHEN stopped THEN 0 ELSE 1 END AS own FROM final) f
-LEFT JOIN g ON f.label = g.label AND f.a = g.a AND f.b = g.b AND f.c = g.c
-LEFT JOIN pairs p ON f.label = p.label AND f.b = p.b AND f.c = p.c
-LEFT JOIN alone o ON f.label = o.label AND f.c = o.c
-LEFT JOIN halves h ON f.label = h.label AND f.a = h.a AND f.b = h.b AND f.c = h.c
-LEFT JOIN wide w ON f.label = w.label AND f.b = w.b AND f.c = w.c
-LEFT JOIN begun u ON f.c = u.c""",
-        grams=grams, final=final,
+  SELECT DISTINCT l.c FROM longer l JOIN ones s ON l.c = s.c AND s.n <= 1 JOIN ones o ON l.o = o.c AND o.n > 1)
+SELECT q.ka, q.c, coalesce(g.inside, 0) AS i3, coalesce(g.ends + g.bare, 0) AS e3, coalesce(p.inside, 0) AS i2, coalesce(p.ends, 0) AS e2,
+  coalesce(o.inside, 0) AS i1, coalesce(o.ends, 0) AS e1, coalesce(h.n, 0) AS h3, coalesce(w.n, 0) AS h2, u.c IS NOT NULL AND length(q.word) > 1 AS begun
+FROM asked q
+LEFT JOIN g ON q.ka = g.ka AND q.c = g.c
+LEFT JOIN pairs p ON q.kb = p.kb AND q.c = p.c
+LEFT JOIN alone o ON q.label = o.label AND q.c = o.c
+LEFT JOIN halves h ON q.ka = h.ka AND q.c = h.c
+LEFT JOIN wide w ON q.kb = w.kb AND q.c = w.c
+LEFT JOIN begun u ON q.c = u.c""",
+            grams=grams, final=final, words=words,
+        )
     )
-    first = cut_lineage(first)
-    # Trigrams that end some sentences and not others: longer contexts of these alone are counted, in a second look at the texts.
-    between = "e3 + i3 >= {least} AND e3 >= {share} * (e3 + i3) AND i3 >= {share} * (e3 + i3)"
-    unclear = spark.sql(f"SELECT DISTINCT label, a, b, c FROM {{first}} WHERE {between}", first=first, **given)
-    unclear = cut_lineage(unclear)  # its size is then known, and it is sent round where it is small
-    wider = spark.sql("SELECT p.* FROM {places} p LEFT SEMI JOIN {unclear} u ON p.label = u.label AND p.a = u.a AND p.b = u.b AND p.c = u.c", places=places, unclear=unclear)
-    longer = spark.sql(f"SELECT label, s, x, y, a, b, c, {count} FROM {{wider}} GROUP BY label, s, x, y, a, b, c", wider=wider)
-    longer = cut_lineage(longer)  # three branches read it
-    looked_up = spark.sql(
-        f"""
-WITH l AS (SELECT * FROM {{longer}}),
-opening AS (SELECT label, s, a, b, c, {add} FROM l GROUP BY label, s, a, b, c),
-five AS (SELECT label, y, a, b, c, {add} FROM l GROUP BY label, y, a, b, c),
-four AS (SELECT label, x, a, b, c, {add} FROM l GROUP BY label, x, a, b, c),
+    # Trigrams that end some sentences and not others: longer contexts of these alone are counted, in a second look at the words.
+    unclear = spark.sql("SELECT ka, c FROM {asked} WHERE e3 + i3 >= {least} AND e3 >= {share} * (e3 + i3) AND i3 >= {share} * (e3 + i3)", asked=asked, **given)
+    wider = spark.sql(f"SELECT p.stop, p.final, explode({_LONGER.replace('ka', 'p.ka').replace('c,', 'p.c,')}) AS k FROM {{p}} p LEFT SEMI JOIN {{u}} u ON p.ka = u.ka AND p.c = u.c", p=places, u=unclear)
+    longer = spark.sql(f"SELECT k, inside, ends + bare AS ends FROM (SELECT k, {_COUNT} FROM {{wider}} GROUP BY k)", wider=wider)
+    return spark.sql(
+        """
+WITH f AS (SELECT f.*, q.* EXCEPT (ka, c) FROM {final} f JOIN {asked} q ON f.ka = q.ka AND f.c = q.c),
+-- only texts without a full stop ask for longer contexts
+three AS (SELECT h, posexplode(k) AS (at, k) FROM f WHERE NOT stopped OR marked),
 seen AS (
-  SELECT f.*,
-    coalesce(s.inside, 0) AS is, coalesce(s.ends, 0) + coalesce(s.bare, 0) - own AS es,
-    coalesce(v.inside, 0) AS i5, coalesce(v.ends, 0) + coalesce(v.bare, 0) - own AS e5,
-    coalesce(x.inside, 0) AS i4, coalesce(x.ends, 0) + coalesce(x.bare, 0) - own AS e4
-  FROM {{first}} f
-  LEFT JOIN opening s ON f.label = s.label AND f.s = s.s AND f.a = s.a AND f.b = s.b AND f.c = s.c
-  LEFT JOIN five v ON f.label = v.label AND f.y = v.y AND f.a = v.a AND f.b = v.b AND f.c = v.c
-  LEFT JOIN four x ON f.label = x.label AND f.x = x.x AND f.a = x.a AND f.b = x.b AND f.c = x.c)
-SELECT h, marked, s, i3, e3, i2, e2, i1, e1, h3, h2, begun, is, es, i5, e5, i4, e4, CASE
-  WHEN joining OR opened THEN true
-  -- half a word: what stands there is hardly ever a word of its own after the same words
-  WHEN begun THEN true
-  WHEN h3 >= {{least}} AND i3 + e3 < {{share}} * h3 THEN true
-  WHEN is + es >= {{least}} AND (es < {{share}} * (is + es) OR is < {{share}} * (is + es)) THEN es < is
-  WHEN i5 + e5 >= {{least}} AND (e5 < {{share}} * (i5 + e5) OR i5 < {{share}} * (i5 + e5)) THEN e5 < i5
-  WHEN i4 + e4 >= {{least}} AND (e4 < {{share}} * (i4 + e4) OR i4 < {{share}} * (i4 + e4)) THEN e4 < i4
-  WHEN i3 + e3 >= {{least}} THEN e3 < {{share}} * (i3 + e3)
-  WHEN h2 >= {{least}} AND i2 + e2 < {{share}} * h2 THEN true
-  WHEN i3 + e3 >= 2 AND (i3 = 0 OR e3 = 0) THEN e3 = 0
-  WHEN i2 + e2 >= 2 AND (i2 = 0 OR e2 = 0) THEN e2 = 0
-  WHEN i2 + e2 >= {{least}} THEN e2 < {{share}} * (i2 + e2)
-  WHEN i1 + e1 >= {{least}} THEN e1 < {{share}} * (i1 + e1)
-  WHEN label THEN false
-  ELSE marked END AS cut
-FROM seen""",
-        longer=longer, first=first, **given,
+  SELECT h, max(CASE WHEN at = 0 THEN l.inside END) AS is, max(CASE WHEN at = 0 THEN l.ends END) AS es, max(CASE WHEN at = 1 THEN l.inside END) AS i5, max(CASE WHEN at = 1 THEN l.ends END) AS e5,
+    max(CASE WHEN at = 2 THEN l.inside END) AS i4, max(CASE WHEN at = 2 THEN l.ends END) AS e4
+  FROM three t JOIN {longer} l ON t.k = l.k GROUP BY h),
+-- the text's own end is no evidence
+e AS (
+  SELECT f.h, marked, stopped, joining, opened, label, i3, e3 - 1 AS e3, i2, e2 - 1 AS e2, i1, e1 - 1 AS e1, h3, h2, begun,
+    coalesce(is, 0) AS is, coalesce(es - 1, 0) AS es, coalesce(i5, 0) AS i5, coalesce(e5 - 1, 0) AS e5, coalesce(i4, 0) AS i4, coalesce(e4 - 1, 0) AS e4
+  FROM f LEFT JOIN seen s ON f.h = s.h),
+v AS (
+  SELECT h, CASE
+    WHEN i3 + e3 >= {least} AND e3 < {share} * (i3 + e3) THEN 'trigram'
+    WHEN joining OR opened THEN 'open'
+    -- a full stop settles what no frequent trigram speaks against
+    WHEN stopped AND NOT marked THEN '-stop'
+    -- half a word: what stands there is hardly ever a word of its own after the same words
+    WHEN begun THEN 'half'
+    WHEN h3 >= {least} AND i3 + e3 < {share} * h3 THEN 'half'
+    WHEN is + es >= {least} AND (es < {share} * (is + es) OR is < {share} * (is + es)) THEN IF(es < is, '', '-') || 'opening'
+    WHEN i5 + e5 >= {least} AND (e5 < {share} * (i5 + e5) OR i5 < {share} * (i5 + e5)) THEN IF(e5 < i5, '', '-') || 'five'
+    WHEN i4 + e4 >= {least} AND (e4 < {share} * (i4 + e4) OR i4 < {share} * (i4 + e4)) THEN IF(e4 < i4, '', '-') || 'four'
+    WHEN i3 + e3 >= {least} THEN '-trigram'
+    WHEN h2 >= {least} AND i2 + e2 < {share} * h2 THEN 'half'
+    WHEN i3 + e3 >= 2 AND (i3 = 0 OR e3 = 0) THEN IF(e3 = 0, '', '-') || 'trigram'
+    WHEN i2 + e2 >= 2 AND (i2 = 0 OR e2 = 0) THEN IF(e2 = 0, '', '-') || 'two'
+    WHEN i2 + e2 >= {least} THEN IF(e2 < {share} * (i2 + e2), '', '-') || 'two'
+    WHEN i1 + e1 >= {least} THEN IF(e1 < {share} * (i1 + e1), '', '-') || 'one'
+    WHEN label OR NOT marked THEN '-rare' ELSE 'mark' END AS rule FROM e)
+SELECT h, NOT startswith(rule, '-') AS cut, rule FROM v""",
+        final=final, asked=asked, longer=longer, **given,
     )
-    return looked_up.select("h", "cut").unionByName(settled)
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ def test_cut_and_complete(spark):
     base = [(i, "A", f"s{i % 2}", f"{SENTENCES[i % 4]} {SENTENCES[(i + 1) % 4]}") for i in range(400)]
     base += [(400 + i, "B", "s0", f"{SENTENCES[i % 4]} {SENTENCES[4]}") for i in range(40)]
     cases = {
-        "The valve cannot close in this": True, "Order a scan before the dose is": True, "Symptoms such as flank pain appear later, because the": True, "Symptoms such as flank pa": True, "Giving aspirin would worsen the condi…": True, "Order a scan before the...": True, "Giving aspirin would worsen,": True, "The valve (first": True, "The valve cannot clo�": True,
+        "The valve cannot close in this": True, "Order a scan before the dose is": True, "Symptoms such as flank pain appear later, because the": True, "Symptoms such as flank pa": True, "Giving aspirin would worsen the condi…": True, "Order a scan before the...": True, "Giving aspirin would worsen,": True, "The valve (first": True, "The valve cannot clo�": True, "Order a scan before the.": True, "Symptoms such as.": True,
         "The valve cannot close in this case": False, "Giving aspirin would worsen the condition of the patient": False, "The valve cannot close in this case...": False, "Order a scan before the dose is given. Key signs: a wide gait; flank pain; a dry cough": False, "The valve cannot close in this case.": False,
     }
     rows = base + [(1000 + i, "C", None, t) for i, t in enumerate(cases)] + [(2000, "A", "s", None), (2001, "A", "s", "  "), (2002, "A", "s", SENTENCES[0] + " " + " ".join(SENTENCES[:4] * 500)), (1000, "C", None, next(iter(cases)))]
