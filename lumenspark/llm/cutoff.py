@@ -35,34 +35,38 @@ from lumenspark.session import cut_lineage
 
 _MARK = r"(?:\\s*(?:…|\\.{2,}|\\[\\s*(?:…|\\.{2,})\\s*\\]|(?:\\.\\s){2,}\\.))+\\s*$"
 _NUMBER = "[0-9]+(?:[.,:/-][0-9]+)*"
-_ENDS = "[.!?。！？][\"”’)\\\\]]*$"
 
 #: frequent enough to decide; share of ends below which a trigram doesn't end a text, and above whose complement it does
 LEAST, SHARE = 8, 0.08
 
-#: The sentences of each text. Only a text that may end in a mark of omission is searched for one.
+_CLOSERS = "\"”’)]"
+
+#: The sentences of each text. Only a text whose last characters may be a mark of omission is searched for one.
 _SENTENCES = """
 SELECT h, marked, posexplode(sentences) AS (at, sentence), size(sentences) AS many
 FROM (
-  SELECT h, marked, split(trim(translate(CASE WHEN marked THEN regexp_replace(text, '{mark}', '') ELSE text END, '\\n\\t\\r', '   ')), '(?<=[.!?。！？]|[.!?。！？]["”’)\\\\]]) +') AS sentences
-  FROM (SELECT h, text, right(rtrim(text), 1) IN ('.', '…', ']') AND text RLIKE '{mark}' AS marked FROM {texts}))
+  SELECT h, marked, split(regexp_replace(trim(translate(CASE WHEN marked THEN regexp_replace(text, '{mark}', '') ELSE text END, '\\n\\t\\r', '   ')), '([.!?。！？]["”’)\\\\]]*) ', '$1\\n'), '\\n') AS sentences
+  FROM (SELECT h, text, CASE WHEN right(bare, 1) = '…' OR right(bare, 2) IN ('..', '.]', '…]', ' .', ' ]') THEN text RLIKE '{mark}' ELSE false END AS marked FROM (SELECT h, text, rtrim(text) AS bare FROM {texts})))
 """
 
-#: Their words, the stop taken off the last one.
-_WORDS = """
-SELECT h, marked, at = many - 1 AS last, stopped, w, size(w) AS n, coalesce(array_position(transform(w, v -> endswith(v, ':')), true), 0) AS colon,
-  CASE WHEN at = many - 1 THEN sentence RLIKE '[,;:(\\\\[/&+=–—-]$|�' END AS joining,
-  CASE WHEN at = many - 1 THEN regexp_replace(sentence, '\\\\([^()]*\\\\)|"[^"]*"|“[^“”]*”', '') RLIKE '[("“]' END AS opened
-FROM (
-  SELECT *, filter(split(lower(regexp_replace(CASE WHEN stopped THEN regexp_replace(sentence, '{ends}', '') ELSE sentence END, '{number}', '#')), ' '), v -> v <> '') AS w
-  FROM (SELECT *, right(sentence, 1) IN ('.', '!', '?', '。', '！', '？', '"', '”', '’', ')', ']') AND sentence RLIKE '{ends}' AS stopped FROM {sentences}))
-WHERE size(w) > 0
+#: Their words, the stop taken off the last one, and as numbers.
+_WORDS = f"""
+SELECT *, transform(word, v -> xxhash64(v)) AS w FROM (
+  SELECT h, marked, at = many - 1 AS last, stopped, size(word) AS n, word, CASE WHEN contains(sentence, ': ') THEN coalesce(array_position(transform(word, v -> endswith(v, ':')), true), 0) ELSE 0 END AS colon,
+    CASE WHEN at = many - 1 THEN sentence RLIKE '[,;:(\\\\[/&+=–—-]$|�' END AS joining,
+    CASE WHEN at = many - 1 AND sentence RLIKE '[("“]' THEN regexp_replace(sentence, '\\\\([^()]*\\\\)|"[^"]*"|“[^“”]*”', '') RLIKE '[("“]' ELSE false END AS opened
+  FROM (
+    SELECT *, split(lower(regexp_replace(CASE WHEN contains(bare, '  ') THEN regexp_replace(bare, ' +', ' ') ELSE bare END, '{{number}}', '#')), ' ') AS word
+    FROM (
+      SELECT h, marked, at, many, sentence, stopped, CASE WHEN stopped THEN rtrim(left(closed, length(closed) - 1)) ELSE sentence END AS bare
+      FROM (SELECT *, right(closed, 1) IN ('.', '!', '?', '。', '！', '？') AS stopped FROM (SELECT h, marked, at, many, trim(sentence) AS sentence, rtrim('{_CLOSERS}', trim(sentence)) AS closed FROM {{sentences}})))
+    WHERE bare <> ''))
 """
 
 #: Word i of a sentence as numbers: label before it or not, its two words before (ka) or one (kb), itself (c); what follows.
 _PLACE = """
 SELECT *, colon > 0 AND colon < i AS label,
-  xxhash64(colon > 0 AND colon < i, get(w, i - 3), get(w, i - 2)) AS ka, xxhash64(colon > 0 AND colon < i, get(w, i - 2)) AS kb, xxhash64(get(w, i - 1)) AS c,
+  xxhash64(colon > 0 AND colon < i, get(w, i - 3), get(w, i - 2)) AS ka, xxhash64(colon > 0 AND colon < i, get(w, i - 2)) AS kb, get(w, i - 1) AS c,
   i = n AND stopped AS stop, i = n AND last AS final
 FROM {words}
 """
@@ -76,7 +80,7 @@ _COUNT = "count_if(NOT stop AND NOT final) AS inside, count_if(stop) AS ends, co
 
 
 def _sql(df: DataFrame, text: str, view: str) -> DataFrame:
-    own = {"{mark}": _MARK, "{ends}": _ENDS, "{number}": _NUMBER}
+    own = {"{mark}": _MARK, "{number}": _NUMBER}
     for name, pattern in own.items():  # braces of a pattern are no parameters
         text = text.replace(name, pattern.replace("{", "{{").replace("}", "}}"))
     return df.sparkSession.sql(text.replace("{texts}", "{" + view + "}"), **{view: df})
@@ -102,10 +106,10 @@ def _verdicts(texts: DataFrame, least: int, share: float) -> DataFrame:
     spark = texts.sparkSession
     given = {"least": int(least), "share": float(share)}
     words = cut_lineage(_sql(_sql(texts, _SENTENCES, "texts"), _WORDS, "sentences"))  # texts are cut into words once
-    places = _sql(spark.sql("SELECT *, explode(sequence(1, n)) AS i FROM {w}", w=words), _PLACE, "words")
+    places = _sql(spark.sql("SELECT last, stopped, n, colon, w, explode(sequence(1, n)) AS i FROM {w}", w=words), _PLACE, "words")
     grams = cut_lineage(spark.sql(f"SELECT label, ka, kb, c, {_COUNT} FROM {{p}} GROUP BY label, ka, kb, c", p=places))
     final = _sql(spark.sql("SELECT *, n AS i FROM {w} WHERE last", w=words), _PLACE, "words")
-    final = spark.sql(f"SELECT h, marked, stopped, joining, opened, label, ka, kb, c, get(w, n - 1) AS word, {_LONGER} AS k FROM {{f}}", f=final)
+    final = spark.sql(f"SELECT h, marked, stopped, joining, opened, label, ka, kb, c, get(word, n - 1) AS word, {_LONGER} AS k FROM {{f}}", f=final)
     final = cut_lineage(final)
     add = "sum(inside) AS inside, sum(ends + bare) AS ends"
     asked = cut_lineage(
@@ -113,7 +117,7 @@ def _verdicts(texts: DataFrame, least: int, share: float) -> DataFrame:
             f"""
 WITH g AS (SELECT * FROM {{grams}}),
 asked AS (SELECT DISTINCT label, ka, kb, c, word FROM {{final}}),
-vocabulary AS (SELECT word, xxhash64(word) AS c FROM (SELECT DISTINCT explode(w) AS word FROM {{words}})),
+vocabulary AS (SELECT word, xxhash64(word) AS c FROM (SELECT DISTINCT explode(word) AS word FROM {{words}})),
 -- the words that go on where a final word stops
 longer AS (
   SELECT q.c, o.c AS o FROM (SELECT DISTINCT word, c, left(word, 3) AS p FROM asked) q
