@@ -27,6 +27,9 @@ def test_planted_scores_are_recovered(spark):
     got = {(r.question_id, r.dimension): r.label for r in consensus.labels(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(got) == 480
     assert sum(got[q, d] == t for q, t in truth.items() for d in consensus.DIMENSIONS) > 0.95 * 480
+    few = consensus.fit(consensus.counting_scores(spark.createDataFrame(rows, SCHEMA)), shared=3)  # more evaluators than are shared: joins
+    far = {(r.question_id, r.dimension): max(range(5), key=lambda k: r.q[k]) + 1 for r in few.items.collect()}
+    assert sum(far[k] == v for k, v in got.items()) >= 478
     sure = {(r.evaluator, r.dimension): r for r in consensus.reliability(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert sure["ev0", "option_quality"].accuracy > 0.8 > 0.45 > sure["ev6", "option_quality"].accuracy
     assert all(r.low < r.accuracy < r.high for r in sure.values())
