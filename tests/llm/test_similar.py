@@ -47,3 +47,14 @@ def test_groups(spark):
         parent[max(root(a), root(b))] = min(root(a), root(b))
     want = {i: root(i) for p in pairs for i in p}
     assert {r.question_id: r.group_id for r in similar.groups(df).collect()} == want
+
+
+def test_voronoi_join_is_exact(spark):
+    rows = make(random.Random(6))
+    cls = similar.classes(similar.word_sets(spark.createDataFrame(rows, "question_id bigint, question string")))
+    want = {(r.a, r.b, r.common, r.either) for r in similar.class_pairs(cls).collect()}
+    for pivots, bound in ((4, 20), (8, 1000), (3, 7)):
+        assert {(r.a, r.b, r.common, r.either) for r in similar.voronoi_pairs(cls, pivots, bound).collect()} == want
+    regions = similar.voronoi_regions(cls, 4, 20)
+    assert regions.filter("anchor").count() == cls.count() == regions.select("cls").distinct().count()
+    assert similar.voronoi_pairs(cls.limit(0)).count() == 0
