@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,12 @@ def option_lines(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def first_score(answer: Column, *labels: str) -> Column:
+    """The score under the first label that gives one other than 0, else that of the last."""
+    scores = [label_score(answer, x) for x in labels]
+    return F.coalesce(*(F.nullif(x, F.lit(0.0)) for x in scores[:-1]), scores[-1])
+
+
 def label_score(answer: Column, label: str) -> Column:
     """The first number after the label's first occurrence (up to its next); without the label, the first number of all."""
     parts = F.split(answer, label)
@@ -98,19 +107,25 @@ def is_clarification(text: Column) -> Column:
     return F.coalesce(word & (F.length(t) > 20) & ~(t.endswith("?") & (periods < 2)), F.lit(False))
 
 
-#: Kinds of error by the words in a message, the first that holds.
-ERROR_WORDS = (
-    ("quota", r"quota|insufficient|exceeded|429|cost limit"), ("rate", r"rate[^\n]*limit|limit[^\n]*rate"), ("timeout", r"timeout|timed out"),
-    ("connection", r"connection|refused|unreachable"), ("format", r"json|parse"), ("length", r"context[^\n]*length|length[^\n]*context"),
-)
+#: Kinds of error by the words a message holds, the first that does. A rule is true if one of its parts is; a part, if each of its groups has a word in the message.
+ERROR_RULES = (
+    ("key", ((("api",), ("key", "invalid", "incorrect")),)),
+    ("billing", ((("billing",),), (("account",), ("not active",)))),
+    ("quota", ((("quota", "insufficient", "exceeded", "429", "cost limit"),),)),
+    ("rate", ((("rate",), ("limit",)),)),
+    ("timeout", ((("timeout", "timed out"),),)),
+    ("connection", ((("connection", "refused", "unreachable"),),)),
+    ("format", ((("json", "parse"),),)),
+    ("length", ((("context",), ("length",)),)),
+)
 
 
 def error_kind(message: Column) -> Column:
     """The first kind whose words the message holds, wherever in it and on whatever lines; else the message, cut at 80 characters."""
     low, out = F.lower(message), None
-    for kind, words in ERROR_WORDS:
-        words = words.replace(r"[^\n]*", r"[\s\S]*")
-        out = F.when(low.rlike(words), kind) if out is None else out.when(low.rlike(words), kind)
+    for kind, rule in ERROR_RULES:
+        test = reduce(or_, (reduce(and_, (reduce(or_, (low.contains(w) for w in any_)) for any_ in all_)) for all_ in rule))
+        out = F.when(test, kind) if out is None else out.when(test, kind)
     return out.otherwise(F.when(F.length(message) > 80, F.concat(F.left(message, F.lit(80)), F.lit("..."))).otherwise(message))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,23 +11,36 @@ MARKS = ". ,!?。，！？"
 _PUNCT_ONLY = r"^[\s\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*$"
 
 #: Stop words of the clarification similarity.
-STOP_WORDS = (
+STOP_WORDS = tuple(
     "the a an is are was were be been have has had do does did will would this that these those it its they them"
     " to of in on at for with by from and or but if then when where why how let me clarify clarification explain explanation"
-    " understand understanding concept concepts key important please respond help can you your now"
-).split()
+    " understand understanding concept concepts key important please respond help can you your now".split()
+)
+
+
+#: Patterns taken out of a text, in this order, and what stands for them: page tags, white space, links, banners, noise at the end, lines to fill.
+CLEANED = (
+    (r"\[PAGE:\d+\]", ""),
+    (r"\s+", " "),
+    (r"https://t\.me/\S+", ""),
+    (r"(?i)Previous\s+Next.*?Pause", ""),
+    (r"(?i)Score\s+Report.*?Pause", ""),
+    (r"""\\["']\s*[,~]\s*[A-Za-z]?["']?\s*[rR]?\s*[-~]?\s*[rR]?\s*["']?\s*[,~]?\s*["']?\s*$""", ""),
+    (r"""\s*[rR]?\s*["']?\s*[,~]\s*[~-]?\s*[rR]?\s*[-~]+\s*[rR]?\s*["']?\s*[,~]?\s*["']?\s*$""", ""),
+    (r"""\s*["']?\s*[,~]\s*[A-Za-z]?["']?\s*[rR]\s*[-~]?\s*[rR]?\s*["']?\s*[,~]?\s*["']?\s*$""", ""),
+    (r"""\s*["',~-]+\s*$""", ""),
+    (r"\s+[rR]\s*$", ""),
+    (r"[,\s]*_{3,}\s*$", ""),
+    (r"[,\s]*_\s+_{1,}\s*$", ""),
+    (r"[,\s]+_+\s*$", ""),
+)
 
 
 def clean_text(text: Column) -> Column:
-    """Page tags, link and navigation residue removed, white space collapsed, trailing marks and blank lines to fill stripped."""
-    t = F.regexp_replace(text, r"\[PAGE:\d+\]", "")
-    t = F.regexp_replace(t, r"\s+", " ")
-    t = F.regexp_replace(t, r"https://t\.me/\S+", "")
-    t = F.regexp_replace(t, r"(?i)Previous\s+Next.*?Pause", "")
-    t = F.regexp_replace(t, r"(?i)Score\s+Report.*?Pause", "")
-    t = F.regexp_replace(t, r"\s*[\"',~-]+\s*$", "")
-    t = F.regexp_replace(t, r"_{2,}", "")
-    return F.trim(t)
+    """Page tags, link and navigation residue removed, white space collapsed, noise and lines to fill taken off the end."""
+    for pattern, by in CLEANED:
+        text = F.regexp_replace(text, pattern, by)
+    return F.trim(text)
 
 
 def split_paragraphs(text: Column) -> Column:
@@ -70,7 +81,9 @@ def valid_clarification_text(text: Column) -> Column:
     ends = t.rlike("[。，：；！？]$") & (F.length(F.trim(F.regexp_replace(t, ".$", ""))) < 5)
     repeats = (F.size(F.split(low, "clarify")) - 1 > 2) | (F.size(F.split(low, "key concepts")) - 1 > 2)
     meaningful = F.length(F.translate(t, MARKS + "：:", "")) >= 5
-    return F.coalesce((F.length(t) >= 20) & ~t.rlike(_PUNCT_ONLY) & meaningful & ~ends & ~jumble & (F.size(words) >= 5) & ~repeats, F.lit(False))
+    # Of the template phrases only the signs can stand within a word; at most half of the words may hold one.
+    signs = F.size(F.filter(words, lambda w: w.rlike("[💡🔍💬]"))) <= 0.5 * F.size(words)
+    return F.coalesce((F.length(t) >= 20) & ~t.rlike(_PUNCT_ONLY) & meaningful & ~ends & ~jumble & (F.size(words) >= 5) & ~repeats & signs, F.lit(False))
 
 
 def word_set(text: Column, stop: list[str] | None = None, longer: int = 0) -> Column:
@@ -111,8 +124,3 @@ def issues(question: Column, options: Column, answer: Column, explanation: Colum
         ("tip_apart", (text(tip) != "") & ~F.coalesce(F.contains(question, text(tip)), F.lit(False))),
     ]
     return F.array_compact(F.array(*(F.when(test, F.lit(code)) for code, test in rules)))
-
-
-def any_phrase(text: Column, phrases: tuple[str, ...]) -> Column:
-    low = F.lower(text)
-    return reduce(lambda x, y: x | y, (low.contains(p) for p in phrases))

@@ -134,8 +134,14 @@ def any_of_spark(column: str, phrases: tuple[str, ...]) -> str:
     return any_of(column, phrases).replace("''", "\\'")
 
 
-_TEXTS = "(SELECT conv_id, coalesce(m.`user`, CASE WHEN m.role = 'user' THEN m.content END) AS said, coalesce(m.assistant, CASE WHEN m.role = 'assistant' THEN m.content END) AS answered FROM (SELECT conv_id, explode(messages) AS m FROM @tutor_conversations))"
-_TEXTS_DUCK = "(SELECT conv_id, coalesce(m.\"user\", CASE WHEN m.\"role\" = 'user' THEN m.\"content\" END) AS said, coalesce(m.assistant, CASE WHEN m.\"role\" = 'assistant' THEN m.\"content\" END) AS answered FROM (SELECT conv_id, unnest(messages) AS m FROM @tutor_conversations))"
+#: The latest save of each conversation; an earlier one holds its first messages only.
+SAVED = "(SELECT conv_id, max_by(messages, struct(saved_at, size(messages))) AS messages FROM @tutor_conversations GROUP BY conv_id)"
+SAVED_DUCK = "(SELECT conv_id, arg_max(messages, (saved_at, len(messages))) AS messages FROM @tutor_conversations GROUP BY conv_id)"
+_TEXTS = f"(SELECT conv_id, coalesce(m.`user`, CASE WHEN m.role = 'user' THEN m.content END) AS said, coalesce(m.assistant, CASE WHEN m.role = 'assistant' THEN m.content END) AS answered FROM (SELECT conv_id, explode(messages) AS m FROM {SAVED}))"
+_TEXTS_DUCK = f"(SELECT conv_id, coalesce(m.\"user\", CASE WHEN m.\"role\" = 'user' THEN m.\"content\" END) AS said, coalesce(m.assistant, CASE WHEN m.\"role\" = 'assistant' THEN m.\"content\" END) AS answered FROM (SELECT conv_id, unnest(messages) AS m FROM {SAVED_DUCK}))"
+#: (conv_id, pos, said): the student's turns, of either shape of a save. In older ones a tutor's message is a row of its own and no turn.
+TURNS = f"(SELECT conv_id, pos, coalesce(m.`user`, CASE WHEN m.role = 'user' THEN m.content END) AS said FROM (SELECT conv_id, posexplode(messages) AS (pos, m) FROM {SAVED}) WHERE m.`user` IS NOT NULL OR coalesce(m.role, 'user') = 'user')"
+TURNS_DUCK = f"(SELECT conv_id, pos - 1 AS pos, coalesce(m.\"user\", CASE WHEN m.\"role\" = 'user' THEN m.\"content\" END) AS said FROM (SELECT conv_id, generate_subscripts(messages, 1) AS pos, unnest(messages) AS m FROM {SAVED_DUCK}) WHERE m.\"user\" IS NOT NULL OR coalesce(m.\"role\", 'user') = 'user')"
 for _name, _phrases, _column in (("dont_know_turns", DONT_KNOW, "said"), ("wants_answer", WANTS_ANSWER, "said"), ("answer_leak", GIVES_ANSWER, "answered")):
     _text = "SELECT conv_id, count(*) AS n_turns, count(CASE WHEN {hit} THEN 1 END) AS n_hits FROM {from} GROUP BY conv_id"
     registry.add_sql(
@@ -143,9 +149,40 @@ for _name, _phrases, _column in (("dont_know_turns", DONT_KNOW, "said"), ("wants
         _text.replace("{hit}", any_of_spark(_column, _phrases)).replace("{from}", _TEXTS),
         _text.replace("{hit}", any_of(_column, _phrases)).replace("{from}", _TEXTS_DUCK),
     )
-# In older saves a tutor's message is a row of its own and no turn.
+_LAST = "SELECT conv_id, rn AS back, said FROM (SELECT conv_id, said, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS rn FROM {turns}) WHERE rn <= 4"
+registry.add_sql("last_k_turns", _LAST.replace("{turns}", TURNS), _LAST.replace("{turns}", TURNS_DUCK))
+_ROUNDS = "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) AS round, said FROM {turns}"
+registry.add_sql("conversation_rounds", _ROUNDS.replace("{turns}", TURNS), _ROUNDS.replace("{turns}", TURNS_DUCK))
+registry.add_sql("users_by_cost", "SELECT user_id, round(sum(value / 1000), 6) AS cost_total FROM @events GROUP BY user_id ORDER BY cost_total DESC, user_id")
+_BAND = "SELECT user_id, CASE WHEN cost >= 0.5 THEN 'limit' WHEN cost >= 0.8 * 0.5 THEN 'warn' ELSE 'normal' END AS band FROM (SELECT user_id, round(sum(CASE WHEN ts > (SELECT max(ts) FROM @events) - INTERVAL '6' HOUR THEN value / 1000 ELSE 0 END), 6) AS cost FROM @events GROUP BY user_id)"
+registry.add_sql("usage_band", _BAND)
+# Prices of a million tokens are a table; an unknown model has the price of the first one.
+_PRICES = "(SELECT * FROM (VALUES ('small', CAST(0.5 AS DOUBLE), CAST(1.5 AS DOUBLE)), ('large', 5, 15)) AS t(model, price_in, price_out))"
+_COST = f"""SELECT u.user_id, round(sum((u.n_in * coalesce(p.price_in, CAST(0.5 AS DOUBLE)) + u.n_out * coalesce(p.price_out, CAST(1.5 AS DOUBLE))) / 1000000), 9) AS cost
+FROM (SELECT user_id, CASE event_type WHEN 'view' THEN 'small' WHEN 'click' THEN 'large' ELSE event_type END AS model, CAST({{k}} AS BIGINT) AS n_in, event_id % 50 AS n_out FROM @events) u
+LEFT JOIN {_PRICES} p ON u.model = p.model GROUP BY u.user_id"""
+registry.add_sql("token_cost", _COST.replace("{k}", "get_json_object(props, '$.k')"), _COST.replace("{k}", "json_extract_string(props, '$.k')"))
+#: Words by which a student asks for a hint.
+ASKS_HINT = ("hint", "help", "clue", "guide", "stuck", "don't understand", "confused", "explain", "提示", "帮助", "不懂", "不明白", "给我提示")
+# The letter a student names in a turn is the answer given; a request for a hint outweighs a wrong answer.
+_HINT = """SELECT conv_id, pos, CASE WHEN {asks} THEN 'student_request' WHEN given <> '' AND answer <> '' AND given <> answer THEN 'wrong_answer' ELSE 'no_trigger' END AS reason
+FROM (SELECT t.conv_id, t.pos, coalesce(t.said, '') AS said, coalesce(regexp_extract(t.said, '(?:^|[^A-Za-z])([A-H])(?:[^A-Za-z]|$)', 1), '') AS given, coalesce(upper(trim(b.correct_answer)), '') AS answer
+FROM {turns} t JOIN (SELECT conv_id, max(question_id) AS question_id FROM @tutor_conversations GROUP BY conv_id) q ON t.conv_id = q.conv_id
+LEFT JOIN (SELECT question_id, min(correct_answer) AS correct_answer FROM @qbank_amboss_openai_evaluated GROUP BY question_id) b ON q.question_id = b.question_id)"""
+registry.add_sql("hint_trigger", _HINT.replace("{asks}", any_of_spark("said", ASKS_HINT)).replace("{turns}", TURNS), _HINT.replace("{asks}", any_of("said", ASKS_HINT)).replace("{turns}", TURNS_DUCK))
+#: Marks of a tutor's message that holds hints.
+HOLDS_HINTS = ("knowledge_blocks", "hint_questions")
+_ROUND = "SELECT conv_id, 1 + count(CASE WHEN {hit} THEN 1 END) AS round FROM {from} GROUP BY conv_id"
+registry.add_sql("hint_round", _ROUND.replace("{hit}", any_of_spark("answered", HOLDS_HINTS)).replace("{from}", _TEXTS), _ROUND.replace("{hit}", any_of("answered", HOLDS_HINTS)).replace("{from}", _TEXTS_DUCK))
+#: A question put earlier stands after its mark in a tutor's message.
+_PUT = r"[🤔❓]\s*([^\n]+)"
 registry.add_sql(
-    "last_k_turns",
-    "SELECT conv_id, rn AS back, said FROM (SELECT conv_id, said, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS rn FROM (SELECT conv_id, pos, coalesce(m.`user`, CASE WHEN m.role = 'user' THEN m.content END) AS said FROM (SELECT conv_id, posexplode(messages) AS (pos, m) FROM (SELECT conv_id, max_by(messages, struct(saved_at, size(messages))) AS messages FROM @tutor_conversations GROUP BY conv_id)) WHERE m.`user` IS NOT NULL OR coalesce(m.role, 'user') = 'user')) WHERE rn <= 4",
-    "SELECT conv_id, rn AS back, said FROM (SELECT conv_id, said, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS rn FROM (SELECT conv_id, pos, m.\"user\" AS said FROM (SELECT conv_id, generate_subscripts(messages, 1) AS pos, unnest(messages) AS m FROM (SELECT conv_id, arg_max(messages, (saved_at, len(messages))) AS messages FROM @tutor_conversations GROUP BY conv_id)))) WHERE rn <= 4",
+    "earlier_questions",
+    f"SELECT conv_id, trim(q) AS question FROM (SELECT conv_id, explode(regexp_extract_all(answered, r'{_PUT}', 1)) AS q FROM {_TEXTS}) WHERE trim(q) <> ''",
+    f"SELECT conv_id, trim(q) AS question FROM (SELECT conv_id, unnest(regexp_extract_all(answered, '{_PUT}', 1)) AS q FROM {_TEXTS_DUCK}) WHERE trim(q) <> ''",
+)
+registry.add_sql(
+    "profile_summary",
+    "SELECT log_id, CASE WHEN get_json_object(knowledge_profile, '$.questionsAnswered') IS NOT NULL THEN concat('Answered: ', get_json_object(knowledge_profile, '$.questionsAnswered')) ELSE left(knowledge_profile, 80) END AS summary FROM @user_logs",
+    "SELECT log_id, CASE WHEN json_valid(knowledge_profile) AND json_extract_string(knowledge_profile, '$.questionsAnswered') IS NOT NULL THEN concat('Answered: ', json_extract_string(knowledge_profile, '$.questionsAnswered')) ELSE left(knowledge_profile, 80) END AS summary FROM @user_logs",
 )

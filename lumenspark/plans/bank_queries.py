@@ -52,11 +52,12 @@ def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _valid(name: str, function, sql: str) -> None:
     """A validity test over all answers of the conversations."""
-    answers = "(SELECT conv_id, coalesce(m.assistant, m.\"content\") AS t FROM (SELECT conv_id, unnest(messages) AS m FROM tutor_conversations))"
+    answers = "(SELECT conv_id, coalesce(m.assistant, m.\"content\") AS t FROM (SELECT conv_id, unnest(messages) AS m FROM (SELECT conv_id, arg_max(messages, (saved_at, len(messages))) AS messages FROM tutor_conversations GROUP BY conv_id)))"
 
     @registry.add(name, f"SELECT conv_id, count(*) AS n, count(CASE WHEN {sql} THEN 1 END) AS n_valid FROM {answers} GROUP BY conv_id")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        said = _q(spark, sf_dir, "tutor_conversations").select("conv_id", F.explode("messages").alias("m")).select("conv_id", F.coalesce("m.assistant", "m.content").alias("t"))
+        last = _q(spark, sf_dir, "tutor_conversations").groupBy("conv_id").agg(F.max_by("messages", F.struct("saved_at", F.size("messages"))).alias("messages"))
+        said = last.select("conv_id", F.explode("messages").alias("m")).select("conv_id", F.coalesce("m.assistant", "m.content").alias("t"))
         return said.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(function(F.col("t"))).alias("n_valid"))
 
 
@@ -73,7 +74,8 @@ _valid(
     "valid_clarification_text", text.valid_clarification_text,
     f"length({_TRIM}) >= 20 AND {_BARE} AND length(regexp_replace({_TRIM}, '[. ,!?。，！？：:]', '', 'g')) >= 5 AND NOT (regexp_matches({_TRIM}, '[。，：；！？]$') AND length(trim(left({_TRIM}, length({_TRIM}) - 1))) < 5)"
     f" AND NOT (len(regexp_split_to_array({_TRIM}, '\\s+')) - 1 < 2 AND length({_TRIM}) > 10 AND NOT regexp_matches({_TRIM}, '[。，：；！？]')) AND {_WORDS} >= 5"
-    f" AND NOT (len(string_split(lower({_TRIM}), 'clarify')) - 1 > 2 OR len(string_split(lower({_TRIM}), 'key concepts')) - 1 > 2)",
+    f" AND NOT (len(string_split(lower({_TRIM}), 'clarify')) - 1 > 2 OR len(string_split(lower({_TRIM}), 'key concepts')) - 1 > 2)"
+    f" AND len(list_filter(regexp_split_to_array(lower({_TRIM}), '\\s+'), lambda w: length(w) > 1 AND regexp_matches(w, '[💡🔍💬]'))) <= 0.5 * {_WORDS}",
 )
 
 
@@ -169,30 +171,34 @@ registry.add_sql(
 n AS (SELECT at, last(page, true) OVER (ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low, first(page, true) OVER (ORDER BY at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS high FROM p),
 b AS (SELECT at, CASE WHEN low IS NULL OR high - at < at - low THEN high ELSE low END AS page FROM n WHERE low IS NOT NULL OR high IS NOT NULL)
 SELECT q.question_id, min_by(b.page, struct(abs(b.page - q.page_number), b.page)) AS page FROM @qbank_amboss_openai_evaluated q JOIN b ON q.page_number = b.at GROUP BY q.question_id""",
-    "SELECT q.question_id, arg_min(d.page, (abs(d.page - q.page_number), d.page)) AS page FROM @qbank_amboss_openai_evaluated q JOIN (SELECT DISTINCT page, CAST(floor(page / 40) AS INT) AS cell FROM @documents WHERE page IS NOT NULL) d ON CAST(floor(q.page_number / 40) AS INT) = d.cell GROUP BY q.question_id",
+    "SELECT q.question_id, arg_min(d.page, (abs(d.page - q.page_number), d.page)) AS page FROM @qbank_amboss_openai_evaluated q, (SELECT DISTINCT page FROM @documents WHERE page IS NOT NULL) d WHERE q.page_number IS NOT NULL GROUP BY q.question_id",
 )
-registry.add_sql("sequence_complete", "SELECT source_file, count(*) AS n, count(DISTINCT page_number) = max(page_number) - min(page_number) + 1 AS complete FROM @qbank_amboss_openai_evaluated WHERE page_number IS NOT NULL GROUP BY source_file")
-registry.add_sql("page_inference", "SELECT question_id, CAST(least(floor((question_id - 1) / 2) + 1, 500) AS BIGINT) AS page FROM @qbank_amboss_openai_evaluated")
+# A file is complete with 25 questions or more whose numbers are 1 to 25, each once.
+registry.add_sql("sequence_complete", "SELECT source_file, count(*) AS n, count(*) >= 25 AND count(page_number) = 25 AND count(DISTINCT page_number) = 25 AND min(page_number) = 1 AND max(page_number) = 25 AS complete FROM @qbank_amboss_openai_evaluated GROUP BY source_file")
+_NUMBERED = "CAST(NULLIF(regexp_extract(question, '^([0-9]+)[.][ ]', 1), '') AS BIGINT)"
+registry.add_sql("question_number", f"SELECT question_id, {_NUMBERED} AS number FROM @qbank_amboss_openai_evaluated")
+# Two questions to a page up to the last one of the file; page 1 without a number.
+registry.add_sql("page_inference", f"SELECT q.question_id, CAST(coalesce(least(floor(({_NUMBERED} - 1) / 2) + 1, t.total), 1) AS BIGINT) AS page, CAST(least(floor((q.question_id - 1) / 2) + 1, t.total) AS BIGINT) AS page_by_id FROM @qbank_amboss_openai_evaluated q JOIN (SELECT coalesce(source_file, '') AS file, max(page_number) AS total FROM @qbank_amboss_openai_evaluated GROUP BY coalesce(source_file, '')) t ON coalesce(q.source_file, '') = t.file")
+registry.add_sql("question_listing", "SELECT question_id, coalesce(NULLIF(regexp_extract(question, '^([0-9]+)[.]', 1), ''), '?') AS number, page_number, coalesce({n}, 0) > 0 AS has_image, left(replace(question, chr(10), ' '), 80) AS preview FROM @qbank_amboss_openai_evaluated".replace("{n}", "cardinality(images)"), "SELECT question_id, coalesce(NULLIF(regexp_extract(question, '^([0-9]+)[.]', 1), ''), '?') AS number, page_number, coalesce(len(images), 0) > 0 AS has_image, left(replace(question, chr(10), ' '), 80) AS preview FROM @qbank_amboss_openai_evaluated")
+registry.add_sql("jump_to", "SELECT question_id, source FROM (SELECT question_id, source, row_number() OVER (ORDER BY question_id) AS n FROM (SELECT question_id, source FROM @qbank_amboss_openai_evaluated ORDER BY question_id LIMIT 17)) WHERE n = 17")
+registry.add_sql("attach_evaluation", "SELECT q.question_id, e.n AS n_forms, e.total AS total_score FROM @qbank_amboss_openai_evaluated q LEFT JOIN (SELECT question_id, count(*) AS n, round(avg(total_score), 6) AS total FROM @human_evaluation GROUP BY question_id) e ON q.question_id = e.question_id")
 registry.add_sql("question_vignette_age", "SELECT question_id, TRY_CAST(regexp_extract(question, '([0-9]+)-year-old', 1) AS INT) AS age FROM @generated_question")
 registry.add_sql("answer_argmax", "SELECT question_id, max_by(k, struct(length(v), k)) AS longest FROM (SELECT question_id, explode(options) AS (k, v) FROM @generated_question) WHERE v IS NOT NULL GROUP BY question_id", "SELECT question_id, arg_max(e.key, (length(e.value), e.key)) AS longest FROM (SELECT question_id, unnest(map_entries(options)) AS e FROM @generated_question) WHERE e.value IS NOT NULL GROUP BY question_id")
 registry.add_sql("option_letters_pivot", "SELECT source, count(CASE WHEN upper(trim(correct_answer)) = 'A' THEN 1 END) AS a, count(CASE WHEN upper(trim(correct_answer)) = 'B' THEN 1 END) AS b, count(CASE WHEN upper(trim(correct_answer)) = 'C' THEN 1 END) AS c, count(CASE WHEN upper(trim(correct_answer)) = 'D' THEN 1 END) AS d FROM @qbank_amboss_openai_evaluated GROUP BY source")
-registry.add_sql("validate_question", "SELECT question_id, trim(coalesce(question, '')) <> '' AND coalesce(cardinality(options), 0) >= 1 AND trim(coalesce(correct_answer, '')) <> '' AS ok FROM @qbank_amboss_openai_evaluated", "SELECT question_id, trim(coalesce(question, '')) <> '' AND coalesce(len(map_keys(options)), 0) >= 1 AND trim(coalesce(correct_answer, '')) <> '' AS ok FROM @qbank_amboss_openai_evaluated")
+# The whole rule wants a number before the stem; rest is the rule without it.
+_VALID = "SELECT question_id, rest AND regexp_extract(trim(coalesce(question, '')), '^[0-9]+[.][ ]', 0) <> '' AS ok, rest FROM (SELECT question_id, question, trim(coalesce(question, '')) <> '' AND coalesce({n}, 0) >= 1 AND trim(coalesce(correct_answer, '')) <> '' AS rest FROM @qbank_amboss_openai_evaluated)"
+registry.add_sql("validate_question", _VALID.replace("{n}", "cardinality(options)"), _VALID.replace("{n}", "len(map_keys(options))"))
 
-@registry.add(
-    "hierarchy_flatten",
-    "SELECT DISTINCT file_id, domain, topic, coalesce(subtopic, topic) AS subtopic FROM (SELECT file_id, d.name AS domain, t.name AS topic, unnest(CASE WHEN t.subtopics IS NULL OR len(t.subtopics) = 0 THEN [NULL] ELSE t.subtopics END) AS subtopic FROM (SELECT file_id, d, unnest(d.topics) AS t FROM (SELECT file_id, unnest(domains) AS d FROM all_domains_with_subtopics)) WHERE t.name IS NOT NULL)",
-)
+
+@registry.add("hierarchy_flatten")
 def hierarchy_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files held as text are read too, which the SQL leaves out."""
+    """Files held as text are read too; their uneven JSON has no SQL here."""
     return nested.flattened(_q(spark, sf_dir, "all_domains_with_subtopics"))
 
 
-@registry.add(
-    "hierarchy_counts",
-    "SELECT count(DISTINCT d.name) AS n_domains, count(DISTINCT t.name) AS n_topics FROM (SELECT d, unnest(CASE WHEN len(d.topics) > 0 THEN d.topics ELSE [NULL] END) AS t FROM (SELECT unnest(domains) AS d FROM all_domains_with_subtopics))",
-)
+@registry.add("hierarchy_counts")
 def hierarchy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With files held as text and the number of subtopics, which the SQL leaves out."""
+    """With files held as text."""
     return nested.counted(_q(spark, sf_dir, "all_domains_with_subtopics"))
 
 
@@ -202,10 +208,14 @@ def overlapping_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank.overlapping_batches(pages, 3, 2)
 
 
-@registry.add(
-    "clean_text",
-    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[PAGE:\d+\]', '', 'g'), '\s+', ' ', 'g'), 'https://t\.me/\S+', '', 'g'), '(?i)Previous\s+Next.*?Pause', '', 'g'), '(?i)Score\s+Report.*?Pause', '', 'g'), '\s*["'',~-]+\s*$', '', 'g'), '_{2,}', '', 'g')) AS cleaned FROM documents""",
-)
+def _replaced(column: str) -> str:
+    for pattern, by in text.CLEANED:
+        pattern = pattern.replace("'", "''")
+        column = f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
+    return f"trim({column})"
+
+
+@registry.add("clean_text", f"SELECT doc_id, {_replaced('text')} AS cleaned FROM documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _q(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 

@@ -22,6 +22,12 @@ registry.add_sql("judge_human_corr", f"SELECT dimension, count(*) AS n, {_CORR.f
 # Raters meet on questions they share: an equi-join whose size is that of the pairs of one question's raters.
 _PAIRS = f"SELECT a.rater AS a, b.rater AS b, a.dimension, a.score AS x, b.score AS y FROM ({_LONG}) a JOIN ({_LONG}) b ON a.question_id = b.question_id AND a.dimension = b.dimension AND a.rater < b.rater"
 registry.add_sql("interrater_corr", f"SELECT dimension, count(r) AS n_pairs, round(avg(r), 5) AS mean_r FROM (SELECT dimension, a, b, {_CORR.format(x='x', y='y')} AS r FROM ({_PAIRS}) GROUP BY dimension, a, b) GROUP BY dimension")
+# The same over the questions that every rater of the dimension has scored; pairs of a question's raters above are the default.
+_ALL = f"(SELECT l.* FROM ({_LONG}) l JOIN (SELECT i.question_id, i.dimension FROM (SELECT question_id, dimension, count(DISTINCT rater) AS n FROM ({_LONG}) GROUP BY question_id, dimension) i JOIN (SELECT dimension, count(DISTINCT rater) AS n FROM ({_LONG}) GROUP BY dimension) a ON i.dimension = a.dimension AND i.n = a.n) w ON l.question_id = w.question_id AND l.dimension = w.dimension)"
+_ALL_PAIRS = f"SELECT a.rater AS a, b.rater AS b, a.dimension, a.score AS x, b.score AS y FROM {_ALL} a JOIN {_ALL} b ON a.question_id = b.question_id AND a.dimension = b.dimension AND a.rater < b.rater"
+registry.add_sql("interrater_corr_common", f"SELECT d.dimension, count(r) AS n_pairs, round(avg(r), 5) AS mean_r FROM (SELECT DISTINCT dimension FROM ({_LONG})) d LEFT JOIN (SELECT dimension, a, b, {_CORR.format(x='x', y='y')} AS r FROM ({_ALL_PAIRS}) GROUP BY dimension, a, b) c ON d.dimension = c.dimension GROUP BY d.dimension")
+_AGREE = f"SELECT dimension, count(*) AS n_pairs, count(CASE WHEN coalesce(abs(x - y) <= 1, false) THEN 1 END) AS n_agree FROM ({_PAIRS}) GROUP BY dimension"
+registry.add_sql("scores_agree", _AGREE)
 registry.add_sql("evaluators_common_items", f"SELECT question_id, count(DISTINCT rater) AS n_raters FROM {_FORMS} WHERE question_id IS NOT NULL GROUP BY question_id HAVING count(DISTINCT rater) >= 5")
 registry.add_sql("items_intersect", "SELECT question_id FROM @human_evaluation INTERSECT SELECT question_id FROM @qbank_amboss_openai_evaluated")
 #: Agreement within one point, every score held against the first rater's; dimensions with one score are passed over.

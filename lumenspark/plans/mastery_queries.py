@@ -20,7 +20,7 @@ def _state(name: str, text: str) -> None:
 
 
 _state("component_state", "SELECT domain, topic, subtopic, attempted, n_correct, status FROM ({state})")
-_state("component_key", "SELECT concat_ws('->', domain, topic, subtopic) AS component, status FROM ({state})")
+_state("component_key", "SELECT CASE WHEN coalesce(domain, '') <> '' AND coalesce(topic, '') <> '' AND coalesce(subtopic, '') <> '' THEN concat_ws('->', domain, topic, subtopic) ELSE CAST(attempted AS STRING) END AS component, status FROM ({state})")
 _state("mastery_by_domain", "SELECT domain, count(*) AS total, count(CASE WHEN status = 'known' THEN 1 END) AS known, count(CASE WHEN status <> 'known' THEN 1 END) AS unknown FROM ({state}) GROUP BY domain")
 _state("mastery_by_topic", "SELECT concat_ws('->', domain, topic) AS topic_key, count(*) AS total, count(CASE WHEN status = 'known' THEN 1 END) AS known FROM ({state}) GROUP BY domain, topic")
 _state("coverage_overall", "SELECT count(*) AS total, count(CASE WHEN status = 'known' THEN 1 END) AS known, CAST(floor(1e2 * count(CASE WHEN status = 'known' THEN 1 END) / count(*) + 0.5) AS BIGINT) AS coverage_pct, min(CASE WHEN status = 'unknown' THEN 1 ELSE 0 END) = 1 AS all_unknown FROM ({state})")
@@ -32,7 +32,7 @@ _state("component_totals_left_join", _TOTALS)
 _state("coverage_diagnosis", f"SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN total IS NULL THEN 'no_total' WHEN total = 0 THEN 'zero_total' WHEN n_correct > total THEN 'over' WHEN n_correct = total THEN 'complete' WHEN attempted = 0 THEN 'untried' ELSE 'partial' END AS bucket FROM ({_TOTALS})) GROUP BY bucket")
 _DOMAINS = "SELECT domain, round(1e2 * sum(n_correct) / sum(attempted), 4) AS accuracy, CAST(sum(attempted) AS BIGINT) AS attempted FROM ({state}) GROUP BY domain"
 _state("weak_domains", f"SELECT * FROM ({_DOMAINS}) WHERE accuracy < 70 ORDER BY accuracy, domain")
-_state("strong_domains", f"SELECT * FROM ({_DOMAINS}) WHERE accuracy >= 48 ORDER BY accuracy DESC, domain")
+_state("strong_domains", f"SELECT * FROM ({_DOMAINS}) WHERE accuracy >= 90 ORDER BY accuracy DESC, domain")
 _state("review_topk", "SELECT domain, topic, subtopic, round(1e2 * n_correct / attempted, 6) AS accuracy FROM ({state}) WHERE attempted > 0 AND (status = 'unknown' OR 1e2 * n_correct / attempted < 50) ORDER BY round(1e2 * n_correct / attempted, 6), domain, topic, subtopic LIMIT 20")
 _state("recent_components", "SELECT domain, topic, subtopic, status FROM ({state}) ORDER BY updated DESC, domain, topic, subtopic LIMIT 20")
 registry.add_sql("attempts_rollup", f"SELECT domain, topic, subtopic, count(*) AS attempted, count(CASE WHEN correct THEN 1 END) AS n_correct, count(CASE WHEN NOT correct THEN 1 END) AS n_wrong FROM ({_ATTEMPTS}) GROUP BY ROLLUP (domain, topic, subtopic) HAVING domain IS NOT NULL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenspark.functions import records, text
 from lumenspark.operators.sessions import iso_micros
+from lumenspark.plans.activity_queries import SAVED_DUCK, TURNS_DUCK
 from lumenspark.plans.registry import Registry
 from lumenspark.sources.tables import table
 
@@ -93,7 +94,7 @@ def sectionise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("section").cast("bigint"), (F.col("z.b") - F.col("z.a")).cast("bigint").alias("n_lines")).filter("n_lines > 0")
 
 
-_SAID = "(SELECT conv_id, pos, m.\"user\" AS t FROM (SELECT conv_id, generate_subscripts(messages, 1) AS pos, unnest(messages) AS m FROM (SELECT conv_id, arg_max(messages, (saved_at, len(messages))) AS messages FROM tutor_conversations GROUP BY conv_id)) WHERE m.\"user\" IS NOT NULL)"
+_SAID = "(SELECT conv_id, pos, said AS t FROM " + TURNS_DUCK.replace("@", "") + " WHERE said IS NOT NULL)"
 _SET = "list_filter(list_distinct(regexp_extract_all(lower(t), '[a-z0-9_]+')), lambda w: length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w))"
 
 
@@ -113,7 +114,6 @@ def novel_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("conv_id", F.size("s").cast("bigint").alias("n_turns"), F.size(novel).cast("bigint").alias("n_novel"))
 
 
-registry.add_sql("conversation_rounds", "SELECT conv_id, saved_at_rank, n FROM (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY saved_at, coalesce(size(messages), 0)) AS BIGINT) AS saved_at_rank, CAST(coalesce(size(messages), 0) AS BIGINT) AS n FROM @tutor_conversations)", "SELECT conv_id, saved_at_rank, n FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY saved_at, coalesce(len(messages), 0)) AS saved_at_rank, coalesce(len(messages), 0) AS n FROM @tutor_conversations)")
 registry.add_sql("pass_rate_pivot", "SELECT source, count(CASE WHEN llm_judge_evaluation.overall_quality >= 4 THEN 1 END) AS passed, count(CASE WHEN llm_judge_evaluation.overall_quality < 4 THEN 1 END) AS failed, count(CASE WHEN llm_judge_evaluation.overall_quality IS NULL THEN 1 END) AS unrated FROM @qbank_amboss_openai_evaluated GROUP BY source")
 registry.add_sql("window_usage_by_type", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value, round(stddev_samp(value), 6) AS sd_value FROM @events GROUP BY event_type")
 
@@ -140,17 +140,22 @@ def argmax_option(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLARIFIES = " OR ".join(f"contains(lower(t), '{w}')" for w in records.CLARIFIES)
 
 
-@registry.add("extract_clarifications", f"SELECT conv_id, count(*) AS n FROM (SELECT conv_id, coalesce(m.assistant, CASE WHEN m.\"role\" = 'assistant' THEN m.\"content\" END) AS t FROM (SELECT conv_id, unnest(messages) AS m FROM tutor_conversations)) WHERE ({_CLARIFIES}) AND length(trim(t)) > 20 AND NOT (trim(t) LIKE '%?' AND length(t) - length(replace(t, '.', '')) < 2) GROUP BY conv_id")
+@registry.add("extract_clarifications", f"SELECT conv_id, count(*) AS n FROM (SELECT conv_id, coalesce(m.assistant, CASE WHEN m.\"role\" = 'assistant' THEN m.\"content\" END) AS t FROM (SELECT conv_id, unnest(messages) AS m FROM {SAVED_DUCK.replace('@', '')})) WHERE ({_CLARIFIES}) AND length(trim(t)) > 20 AND NOT (trim(t) LIKE '%?' AND length(t) - length(replace(t, '.', '')) < 2) GROUP BY conv_id")
 def extract_clarifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "tutor_conversations").select("conv_id", F.explode("messages").alias("m"))
+    last = table(spark, sf_dir, "tutor_conversations").groupBy("conv_id").agg(F.max_by("messages", F.struct("saved_at", F.size("messages"))).alias("messages"))
+    m = last.select("conv_id", F.explode("messages").alias("m"))
     said = m.select("conv_id", F.coalesce("m.assistant", F.when(F.col("m.role") == "assistant", F.col("m.content"))).alias("t"))
     return said.filter(records.is_clarification(F.col("t"))).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_KINDS = " ".join(f"WHEN regexp_matches(lower(t), '{w}') THEN '{k}'" for k, w in records.ERROR_WORDS)
+def _holds(rule: tuple) -> str:
+    return " OR ".join("(" + " AND ".join("(" + " OR ".join(f"contains(lower(t), '{w}')" for w in any_) + ")" for any_ in all_) + ")" for all_ in rule)
 
 
-@registry.add("error_category", f"SELECT kind, count(*) AS n FROM (SELECT CASE {_KINDS} WHEN length(t) > 80 THEN left(t, 80) || '...' ELSE t END AS kind FROM (SELECT string_split(text, chr(10))[1] AS t FROM documents)) GROUP BY kind")
+_KINDS = " ".join(f"WHEN {_holds(rule)} THEN '{k}'" for k, rule in records.ERROR_RULES)
+
+
+@registry.add("error_category", f"SELECT kind, count(*) AS n FROM (SELECT CASE {_KINDS} WHEN length(t) > 80 THEN left(t, 80) || '...' ELSE t END AS kind FROM (SELECT text AS t FROM documents)) GROUP BY kind")
 def error_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = table(spark, sf_dir, "documents").select(F.col("text").alias("t"))
     return whole.groupBy(records.error_kind(F.col("t")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
