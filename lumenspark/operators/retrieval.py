@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -181,9 +182,51 @@ def hashed_encoder(texts: list[str], width: int = 64) -> np.ndarray:
 
 
 def build_index(chunks: DataFrame, encoder: Callable[[list[str]], np.ndarray], path: str) -> None:
-    """Texts and normalised vectors in one table; a new version beside the old one until it is whole."""
-    embed(chunks, encoder, "chunk").withColumn("embedding", l2_normalised(F.col("embedding"))).write.mode("overwrite").parquet(path)
+    """Texts and normalised vectors in one table: a new version beside the old one, which readers see once it is whole.
+
+    The name of the current version is a small table of its own, written last; older versions are deleted after that.
+    """
+    version = f"v{time.time_ns()}"
+    embed(chunks, encoder, "chunk").withColumn("embedding", l2_normalised(F.col("embedding"))).write.parquet(f"{path}/{version}")
+    spark = chunks.sparkSession
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{path}/current")
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        name = status.getPath().getName()
+        if name.startswith("v") and name < version:
+            files.delete(status.getPath(), True)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The newest version that is whole."""
+    version = spark.read.schema("version string").parquet(f"{path}/current").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def load_or_build(chunks: DataFrame, encoder: Callable[[list[str]], np.ndarray], path: str) -> DataFrame:
+    """The index at the path, built first where there is none."""
+    spark = chunks.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        build_index(chunks, encoder, path)
+    return load_index(spark, path)
+
+
+def reranked(candidates: DataFrame, scorer: Callable[[list[str]], Iterable[float]] | None, k: int, text_col: str = "chunk", id_col: str = "vec_id") -> DataFrame:
+    """The k best candidates by a scorer of their texts; without one, or with at most k candidates, by their own score.
+
+    A scorer that fails gives its batch no rerank score, and those rows keep their order behind the others.
+    """
+    if scorer is None:
+        return candidates.orderBy(F.desc("score"), id_col).limit(k)
+
+    @F.pandas_udf("double")
+    def of(texts):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        try:
+            return pd.Series(list(scorer(texts.fillna("").tolist())), dtype="float64")
+        except Exception:  # noqa: BLE001 - a plug-in may fail in any way
+            return pd.Series([None] * len(texts), dtype="float64")
+
+    return candidates.withColumn("rerank", of(text_col)).orderBy(F.desc_nulls_last("rerank"), F.desc("score"), id_col).limit(k)

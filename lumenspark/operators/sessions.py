@@ -141,9 +141,8 @@ def _timers(gap_us: int):
     return run
 
 
-def sessionize(entries: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
-    """(user_name, start_ms, end_ms, duration_ms, n_events) of the sessions of entries."""
-    gap = gap_ms * 1000
+def sessions_us(entries: DataFrame, gap: int) -> DataFrame:
+    """(user_name, start_us, end_us, n_events) of the sessions of entries, the gap in microseconds."""
     width = max(HOUR_US, gap)  # a gap never spans more than one whole bucket
     order = ["user_name", "hour", "us", "list", "name", "question_id"]
     routed = entries.withColumn("hour", F.floor(F.col("us") / F.lit(width)).cast("bigint")).select(*order)
@@ -159,6 +158,12 @@ def sessionize(entries: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
         .groupBy("user_name", "part", "island")
         .agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n_events").alias("n_events"))
     )
+    return joined.select("user_name", "start_us", "end_us", "n_events")
+
+
+def sessionize(entries: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
+    """(user_name, start_ms, end_ms, duration_ms, n_events) of the sessions of entries."""
+    joined = sessions_us(entries, gap_ms * 1000)
     ms = lambda c: F.floor(F.col(c) / 1000).cast("bigint")
     return joined.select(
         "user_name", ms("start_us").alias("start_ms"), ms("end_us").alias("end_ms"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspark.operators import usage
+from lumenspark.operators import sessions, usage
 from lumenspark.plans.registry import Registry
 from lumenspark.sources.tables import table
 
@@ -85,12 +85,20 @@ def _both(name: str, text: str) -> None:
 
 _both("session_intervals", _INTERVALS)
 _both("session_time", f"SELECT user_id, CAST(sum(seconds) AS BIGINT) AS total_seconds, count(*) AS n_sessions FROM ({_INTERVALS}) GROUP BY user_id")
-_both(
-    "inactivity_sessions",
-    """WITH g AS (SELECT user_id, {us} AS us, CASE WHEN {us} - lag({us}) OVER (PARTITION BY user_id ORDER BY {us}) <= 900000000 THEN 0 ELSE 1 END AS opens FROM @events),
+_IDLE = """WITH g AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)) <= 900000000 THEN 0 ELSE 1 END AS opens FROM events),
 i AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM g)
-SELECT user_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n_events FROM i GROUP BY user_id, island""",
-)
+SELECT user_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n_events FROM i GROUP BY user_id, island"""
+
+
+@registry.add("inactivity_sessions", _IDLE)
+def inactivity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timer operator of p6 over the event table; an event's id keeps it apart from others of its instant."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    entries = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_name"), us.alias("us"), F.lit("event").alias("list"), F.col("event_type").alias("name"), F.col("event_id").alias("question_id"))
+    found = sessions.sessions_us(entries, sessions.GAP_MS * 1000)
+    return found.select(F.col("user_name").cast("bigint").alias("user_id"), "start_us", "end_us", F.col("n_events").cast("bigint").alias("n_events"))
+
+
 registry.add_sql("activity_feed", "SELECT event_id, user_id, event_type, CAST(ts AS STRING) AS at FROM @events ORDER BY ts DESC, event_id DESC LIMIT 100")
 registry.sql["activity_feed"] = "SELECT event_id, user_id, event_type, rtrim(rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"
 registry.add_sql("list_users", "SELECT DISTINCT user_name FROM @user_logs WHERE user_name IS NOT NULL ORDER BY user_name")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -42,11 +43,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def remove_written() -> None:
+    """Delete the tables that cut_lineage has written; results that read them can't be computed again. Called when the process ends."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may have ended; the folder is the cluster's to clean then
+            return
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back.
 
     Unlike checkpoint() this computes the rows once; the files survive lost executors.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(remove_written)
+    _WRITTEN.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -95,3 +95,45 @@ def test_chunks_and_index(spark, tmp_path):
 def test_keywords(spark, query, first):
     df = spark.createDataFrame([(1, "a scan of the neck"), (2, "Carotid bruit, no SCAN"), (3, None), (4, "")], "doc_id bigint, text string")
     assert retrieval.keyword_search(df, query).first().doc_id == first
+
+
+def test_index_versions_and_rerank(spark, tmp_path):
+    path = str(tmp_path / "index")
+    one = spark.createDataFrame([(1, 0, "alpha beta")], "doc_id bigint, chunk_no int, chunk string")
+    two = one.union(spark.createDataFrame([(2, 0, "gamma")], one.schema))
+    assert retrieval.load_or_build(one, retrieval.hashed_encoder, path).count() == 1
+    assert retrieval.load_or_build(two, retrieval.hashed_encoder, path).count() == 1  # there is one already
+    retrieval.build_index(two, retrieval.hashed_encoder, path)
+    assert retrieval.load_index(spark, path).count() == 2
+    # A build that fails leaves the index as it was.
+    def broken(texts):
+        raise ValueError("no model")
+
+    try:
+        retrieval.build_index(one, broken, path)
+    except Exception:  # noqa: BLE001
+        pass
+    assert retrieval.load_index(spark, path).count() == 2
+    rows = spark.createDataFrame([(1, "a", 0.9), (2, "bbb", 0.5), (3, None, 0.7)], "vec_id bigint, chunk string, score double")
+    assert [r.vec_id for r in retrieval.reranked(rows, lambda ts: [len(t) for t in ts], 2).collect()] == [2, 1]
+    assert [r.vec_id for r in retrieval.reranked(rows, None, 2).collect()] == [1, 3]
+    assert [r.vec_id for r in retrieval.reranked(rows, broken, 2).collect()] == [1, 3]
+
+
+def test_rolling_windows_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, 1 if rng.random() < 0.7 else 2, rng.randrange(0, 1_000_000_000), rng.random()) for i in range(300)] + [(300, 3, 0, 1.0), (301, 3, 180_000_000, 1.0), (302, 3, 359_999_999, 1.0), (303, 3, -5, 1.0)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, us bigint, cost double")
+    got = {r.event_id: r.window_cost for r in usage.rolling_cost(df).collect()}
+    assert len(got) == len(rows)
+    for i, u, t, _ in rows:
+        assert abs(got[i] - sum(c for _, v, s, c in rows if v == u and t - 180_000_000 < s <= t)) < 1e-5
+    now = 1_000_000_000
+    waits = {r.user_id: (r.window_cost, r.retry_s) for r in usage.retry_after(df, spark.createDataFrame([(now,)], "now_us bigint"), 600, 20.0).collect()}
+    for u in (1, 2):
+        mine = sorted((t, c) for _, v, t, c in rows if v == u and t > now - 600_000_000)
+        total = sum(c for _, c in mine)
+        wait = next(max(0, (t + 600_000_000 - now) // 1_000_000) for t, _ in mine if sum(c for s, c in mine if s > t) < 20.0) if total >= 20 else 0
+        assert abs(waits[u][0] - total) < 1e-5 and waits[u][1] == wait
