@@ -88,12 +88,13 @@ def _bins(hist: np.ndarray, capacity: int) -> np.ndarray:
 
 def _full_pattern(gain: np.ndarray, weight: np.ndarray, waste: float) -> tuple[np.ndarray, float]:
     """The pattern (pieces of each bin, their grid weights at most GRID) of the greatest gain less waste for each cell left open."""
-    best, last = np.full(GRID + 1, -np.inf), np.full(GRID + 1, -1)
+    held, last = np.full(2 * GRID + 1, -np.inf), np.full(GRID + 1, -1)  # no gain is known below nothing
+    best = held[GRID:]
     best[0] = 0.0
+    at = GRID - weight
     for s in range(1, GRID + 1):
-        before = s - weight
-        v = np.where(before >= 0, best[np.maximum(before, 0)] + gain, -np.inf)
-        k = int(v.argmax())
+        v = held[at + s] + gain
+        k = v.argmax()
         best[s], last[s] = v[k], k
     score = best - waste * (GRID - np.arange(GRID + 1))
     s = int(score[1:].argmax()) + 1
