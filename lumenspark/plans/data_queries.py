@@ -22,6 +22,18 @@ def p2_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flat_table(nested.tagged_rows(table(spark, sf_dir, "all_domains_with_subtopics")), "topic")
 
 
+@registry.add("p2_domains")
+def p2_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of domains, traceable to the file."""
+    return nested.flat_table(nested.tagged_rows(table(spark, sf_dir, "all_domains_with_subtopics")), "domain")
+
+
+@registry.add("p2_subtopics")
+def p2_subtopics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of subtopics, traceable to topic, domain and file."""
+    return nested.flat_table(nested.tagged_rows(table(spark, sf_dir, "all_domains_with_subtopics")), "subtopic")
+
+
 _SESSIONS = r"""
 WITH entries AS (
   SELECT user_name, 'event' AS list, e.event AS name, NULL::BIGINT AS question_id, e."timestamp" AS t

@@ -52,3 +52,9 @@ def test_usage_streams(spark, tmp_path):
     assert totals[1] == (10.0, 40) and totals[2] == (1.0, 1)
     windows = [r for r in run(stream_windows(read()), "append", "windows") if r.user_id == 1]
     assert max(r.cost for r in windows) == 1.5  # six charges in 180 seconds
+
+
+def test_json_keeps_letters(spark, tmp_path):
+    files.write_json(spark.createDataFrame([(1, "Größe 体")], "id int, t string"), str(tmp_path / "j"))
+    assert [tuple(r) for r in spark.read.schema("id int, t string").json(str(tmp_path / "j")).collect()] == [(1, "Größe 体")]
+    assert "Größe 体" in "".join(x.value for x in spark.read.text(str(tmp_path / "j")).collect())
