@@ -60,3 +60,18 @@ def test_frames_shared_by_items_go_to_the_nearest(spark):
     docs = [(1, items[0][1].replace("12", "55").replace("Zelanmere", "Quillport")), (2, frame.format("farmer", "Quillport", "thirst", "metoprolol")[:60])]
     df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, question string, rationale string")
     assert [(r.doc_id, r.item_id) for r in leaks.reparameterised(df, it).collect()] == [(1, 1)]
+
+
+def test_slots_do_not_depend_on_what_is_shared(spark):
+    item = "On day 8 the patient from Zelanmere received aspirin 370 mg and later walked 20 meters without any pain at all"
+    # meters and clinic are rare words of the items, Zelanmere and Brooktown names, tailor a word of the documents only.
+    items = [(1, item, None), (2, "The patient walked to the clinic and the patient from Brooktown without any pain asked for 40 mg on the next day", "the patient the patient"), (3, None, "")]
+    other = item.replace("8", "3").replace("370", "90").replace("Zelanmere", "tailor").replace("20", "55")
+    docs = [(1, other), (2, item), (3, f"{other}. {items[1][1].replace('Brooktown', 'Quillport')}"), (4, item.replace("meters", "miles").replace("walked", "ran")), (5, None), (6, ""), (7, other)]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, question string, rationale string")
+    rows = lambda found: sorted(map(tuple, found.collect()))
+    want, pairs = rows(leaks.shared_windows(df, it)), rows(leaks.reparameterised(df, it))
+    assert [r[:2] for r in pairs] == [(1, 1), (3, 1), (3, 2), (7, 1)]
+    for limits in ({"most_words": 0}, {"most_words": 4}, {"most_words": 12}, {"windows": 0}, {"windows": 0, "most_words": 4}):
+        assert rows(leaks.shared_windows(df, it, **limits)) == want
+        assert rows(leaks.reparameterised(df, it, **limits)) == pairs
